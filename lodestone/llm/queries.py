@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import packing
+from lodestone.llm import packing, quality
 
-_MODULES = (packing,)
+_MODULES = (packing, quality)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
