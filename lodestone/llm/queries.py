@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, packing, quality, sharding
+from lodestone.llm import mixing, packing, quality, repeats, sharding
 
-_MODULES = (packing, sharding, mixing, quality)
+_MODULES = (repeats, packing, sharding, mixing, quality)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
