@@ -17,7 +17,7 @@ from lodestone.llm.workspace import Workspace, fresh
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_EPOCHS = 3
 #: Rows of one source and key slice, about.
-SLICE_ROWS = 1024
+SLICE_ROWS = 256
 
 
 def word_count(text: Column) -> Column:
