@@ -53,13 +53,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of consecutive texts: their hashes, byte places, and the first word of each text (n + 1 entries)."""
+    """Words of consecutive texts: their hashes and byte places; the first word and the first byte of each text (n + 1 entries)."""
 
     hashes: np.ndarray
     begin: np.ndarray
     end: np.ndarray
     first: np.ndarray
     data: np.ndarray
+    bounds: np.ndarray
 
     @property
     def texts(self) -> int:
@@ -84,7 +85,7 @@ def split(data: np.ndarray, bounds: np.ndarray, fold: bool = False) -> Words:
     total = np.zeros(len(data) + 1, U)
     np.cumsum((_BYTE_FOLDED if fold else _BYTE)[data] * _powers(_ROOT, len(data)), out=total[1:])
     hashes = mix((total[end] - total[begin]) * _powers(_INVERSE, len(data) + 1)[begin] + (end - begin).astype(U))
-    return Words(hashes, begin, end, np.searchsorted(begin, bounds), data)
+    return Words(hashes, begin, end, np.searchsorted(begin, bounds), data, bounds)
 
 
 def blocks(texts: pa.Array, fold: bool = False, size: int = BLOCK_BYTES) -> Iterator[tuple[int, Words]]:
