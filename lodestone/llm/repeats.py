@@ -7,9 +7,11 @@
 2. A suffix whose first ``min_words`` words occur once hangs above every deep node.  Hashes
    of those words are counted, in fragments of the hash range, and such suffixes go.
 3. Each part builds the top of its suffix tree, level by level: a node splits by the next
-   word, nodes with a single document are dropped.  Nodes that are left at depth
-   ``min_words`` are the deep internal nodes: below each lie all suffixes that begin with
-   one repeated sequence, and its smallest document keeps it.
+   word, nodes with a single document are dropped.  Words have short codes there; the
+   last level splits by a 64-bit hash of all words before it, which tells apart what the
+   codes do not.  Nodes that are left at depth ``min_words`` are the deep internal nodes:
+   below each lie all suffixes that begin with one repeated sequence, and its smallest
+   document keeps it.
 4. Documents learn which of their windows lie below a node with a smaller document.
 
 Documents are dealt to chunks by a hash of their id.  A chunk stands for all its documents:
@@ -96,9 +98,14 @@ def file_prefixes(docs: DataFrame, plan: Plan) -> Plan:
     for r in rows:
         counts[r["slot"]] = r["n"]
     few = counts <= max(PART_SUFFIXES, int(counts.sum()) // len(PREFIXES) // max(1, plan.parts))
-    # every suffix is counted once under each length, so what the parts hold is at most this
-    upto = np.cumsum(np.where(few, counts, 0))
-    plan.part_of = np.where(few, np.minimum(upto * plan.parts // max(1, int(upto[-1])), plan.parts - 1), -1).reshape(len(PREFIXES), slots).astype(np.int32)
+    # a length only files what all shorter ones have left
+    left, weight = 1.0, np.zeros(len(counts))
+    for k in range(len(PREFIXES)):
+        of = slice(k * slots, (k + 1) * slots)
+        weight[of] = np.where(few[of], counts[of] * left, 0)
+        left *= counts[of][~few[of]].sum() / max(1, counts[of].sum())
+    upto = np.cumsum(weight)
+    plan.part_of = np.where(few, np.minimum(upto * plan.parts // max(1.0, upto[-1]), plan.parts - 1), -1).reshape(len(PREFIXES), slots).astype(np.int32)
     return plan
 
 
@@ -128,14 +135,14 @@ class Chunk:
         return known, first, low, high
 
     def suffixes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Part and first ``min_words`` words (32 bits each) of the windows at ``places``, which rise."""
+        """Part and first ``min_words`` words (16 bits each) of the windows at ``places``, which rise."""
         k = self.plan.min_words
-        part, codes, at0, out = np.zeros(len(places), np.int64), np.zeros((k, len(places)), np.uint32), 0, 0
+        part, codes, at0, out = np.zeros(len(places), np.int64), np.zeros((k, len(places)), np.uint16), 0, 0
         for _, w, h, at, _ in self.blocks:
             to = int(np.searchsorted(places, at0 + len(h)))
             here = at[places[out:to] - at0]
             for j in range(k):
-                codes[j, out:to] = w.hashes[here + j].astype(np.uint32)
+                codes[j, out:to] = w.hashes[here + j].astype(np.uint16)
             chosen = np.full(len(here), -1, np.int64)
             for n, length in enumerate(PREFIXES):
                 chosen = np.where(chosen < 0, self.plan.part_of[n][_slots(_prefix_hashes(w, here, min(length, k)), self.plan.slots)], chosen)
@@ -179,18 +186,18 @@ def split_nodes(node: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndar
     return child, order
 
 
-def grow_tree(codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Builds the tree down to the depth of ``codes`` (depth x suffixes), breadth first.
+def grow_tree(codes: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Builds the tree, breadth first, a level for each of ``codes`` (the next code of every suffix).
 
     Returns the suffixes that lie below deep internal nodes, their node, and each node's
     smallest document.  A node lives on while it has suffixes of two documents.
     """
-    alive, node = np.arange(codes.shape[1]), np.zeros(codes.shape[1], np.int64)
+    alive, node = np.arange(len(low)), np.zeros(len(low), np.int64)
     least = np.zeros(0, np.int64)
-    for depth in range(codes.shape[0]):
+    for level in codes:
         if not len(alive):
             break
-        node, order = split_nodes(node, codes[depth][alive])
+        node, order = split_nodes(node, level[alive])
         starts = np.flatnonzero(np.r_[True, np.diff(node[order]) > 0])
         least = np.minimum.reduceat(low[alive][order], starts)
         most = np.maximum.reduceat(high[alive][order], starts)
@@ -223,13 +230,13 @@ def deep_nodes(docs: DataFrame, again: DataFrame, plan: Plan, ws: Workspace) ->
         for p in np.unique(part):
             a, b = cuts[p], cuts[p + 1]
             o = order[a:b]
-            out.append((int(p), docs_table.column("chunk")[0].as_py(), int(b - a), columns.pack(*codes[:, a:b], low[o], high[o], known[o])))
+            out.append((int(p), docs_table.column("chunk")[0].as_py(), int(b - a), columns.pack(*codes[:, a:b], low[o], high[o] - low[o], known[o])))
         return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     def meet(table: pa.Table) -> pa.Table:
-        got, row = columns.gather(table, *[np.uint32] * k, np.int64, np.int64, np.uint64)
-        codes, (low, high, known) = np.stack(got[:k]), got[k:]
-        alive, node, least = grow_tree(codes, low, high)
+        got, row = columns.gather(table, *[np.uint16] * k, np.int64, np.int64, np.uint64)
+        low, high, known = got[k], got[k] + got[k + 1], got[k + 2]
+        alive, node, least = grow_tree([*got[:k], known], low, high)
         tell = high[alive] > least[node]  # a chunk in which only the smallest document has it loses nothing
         alive, least_of = alive[tell], least[node[tell]]
         order = np.argsort(row[alive], kind="stable")
