@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.llm import lines, mixing, ngrams, packing, quality, repeats, sharding
+from lodestone.llm import lines, mixing, neighbours, ngrams, packing, quality, repeats, sharding
 
-_MODULES = (repeats, packing, sharding, mixing, quality, ngrams, lines)
+_MODULES = (repeats, packing, neighbours, sharding, mixing, quality, ngrams, lines)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
