@@ -41,3 +41,11 @@ class Pairs:
             return build
 
         return keep
+
+    def same(self, name: str, sql: str, oracle: str | None = None) -> None:
+        """One SQL text for both engines: tables stand in braces.  ``oracle``: where the dialects differ."""
+        self.queries[name] = lambda spark, sf_dir: Tables(spark, sf_dir).sql(sql)
+        plain = oracle or sql
+        for n in TABLES:
+            plain = plain.replace(f"{{{n}}}", n)
+        self.oracle[name] = plain
