@@ -175,14 +175,7 @@ def _links(dealt: DataFrame, adjacency: DataFrame, threshold: float) -> DataFram
 
     Nodes that are guests of a shard come without n_links, if they are linked there.
     """
-    home = dealt.where("home").select("node", "label", "cluster")
-    # a shard also gets the vectors that the union has made neighbours of its own
-    nodes = dealt.where("home").select(F.col("node").alias("other"), "copies", "v")
-    reached = home.join(adjacency, "node").select("label", "cluster", F.explode("near").alias("other")).distinct()
-    known = dealt.select("label", "cluster", F.col("node").alias("other"))
-    halo = reached.join(known, ["label", "cluster", "other"], "left_anti").join(nodes, "other")
-    halo = halo.select(F.col("other").alias("node"), "label", "copies", "v", "cluster", F.lit(False).alias("home"))
-    rows = dealt.select("node", "label", "copies", "v", "cluster", "home").unionByName(halo).join(adjacency, "node", "left")
+    rows = dealt.select("node", "label", "copies", "v", "cluster", "home").join(adjacency, "node", "left")
     schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("linked", pa.int64())])
 
     def search(table: pa.Table) -> pa.Table:
