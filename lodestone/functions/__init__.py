@@ -1 +1 @@
-
+"""Column builders with the reference's semantics where Spark's own functions differ."""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import relational, tpch
+from lodestone.plans import relational, scalars, tpch
 
-_MODULES = (tpch, relational)
+_MODULES = (tpch, relational, scalars)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
