@@ -8,11 +8,11 @@
 3. Candidates are verified by vertical partitioning: the global order is cut into
    ``FRAGMENTS``, the overlap of a pair is counted in each fragment separately, and the
    partial counts are summed per pair.
-4. Only components are asked for.  First every set is paired with one set that it shares
-   most prefix shingles with among the smallest of each shingle.  Then, for every prefix
-   shingle whose sets lie in different components, all pairs across components are
-   verified.  Pairs inside one component can join nothing more, so a group of copies
-   of any size costs a pair for each of its members.
+4. Only components are asked for, and pairs inside one component can join nothing more.
+   So first, in rounds, every shingle picks one of its sets, and every set is verified
+   against the picked one with which it shares most of its prefix: a group of copies of any
+   size costs a pair a round for each member.  When few pairs across components are
+   left, all of those are verified, shingle by shingle.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ from lodestone.llm.workspace import Workspace, fresh
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 CHUNK_BYTES, MOST_CHUNK_BYTES, COUNT_SHINGLES = 4 << 20, 128 << 20, 4 << 20
 FRAGMENTS, PLACES = 4, 1 << 12
+#: Pairs across components are all verified once there are at most so many for each open prefix shingle of a set.
+EXACT_PAIRS, MOST_ROUNDS, SPREAD = 2, 8, 0.03
+#: ... or once a round finds less than this part of what the best round found.
+FADED = 20
+BITS = 256
 
 
 class Sets:
@@ -96,6 +101,13 @@ def frequencies(docs: DataFrame, fragments: int, k: int, ws: Workspace) -> DataF
     return ws.save(sent.groupBy("fragment").applyInArrow(meet, "chunk int, fragment int, n long, blob binary"), "frequencies")
 
 
+def bitmaps(tokens: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``BITS`` bits of hashed shingles for each of n documents, and how many of its shingles share a bit with others."""
+    bits = np.zeros((n, BITS // 64), np.uint64)
+    np.bitwise_or.at(bits, (of, (tokens % np.uint64(BITS // 64)).astype(np.int64)), np.uint64(1) << (tokens >> np.uint64(8) & np.uint64(63)))
+    return bits, np.bincount(of, minlength=n) - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+
+
 def needed(n: np.ndarray) -> np.ndarray:
     """The least overlap that a set of n shingles has with any set that it links to."""
     return -(-NUMERATOR * n // DENOMINATOR)
@@ -106,11 +118,11 @@ def shared_sets(docs: DataFrame, codes: DataFrame, fragments: int, k: int, ws: W
 
     Documents that can have partners also carry, once a chunk and set: shared, how many of
     their shingles other sets have too; tokens, those shingles in the global order (by
-    frequency, then hash); places, the leading bits of that order; and prefix, how many of
-    them are in the prefix.
+    frequency, then hash); places, the leading bits of that order; prefix, how many of them
+    are in the prefix; and bits and slack, the bitmap of those.
     """
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("shared", pa.int64()), ("prefix", pa.int32()), ("tokens", longs), ("places", pa.list_(pa.int16()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("shared", pa.int64()), ("prefix", pa.int32()), ("bits", longs), ("slack", pa.int32()), ("tokens", longs), ("places", pa.list_(pa.int16()))])
 
     def send(table: pa.Table, code_table: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -132,19 +144,48 @@ def shared_sets(docs: DataFrame, codes: DataFrame, fragments: int, k: int, ws: W
         offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
         gone = ~alive
         prefix = sets.n - needed(sets.n) + 1 - (sets.n - shared)
+        first = np.arange(len(of)) - np.repeat(offsets[:-1], size)
+        early = first < np.maximum(prefix, 0)[np.repeat(np.arange(len(size)), size)]
+        bits, slack = bitmaps(h.view(np.uint64)[early], np.repeat(np.arange(len(size)), size)[early], len(size))
         lists = [pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[gone, False]), pa.array(x)) for x in (h, r)]
         empty = sets.n == 0
-        return pa.table([table.column("doc_id"), pa.array(sets.n), pa.array(sets.print.view(np.int64), mask=empty), pa.array(shared.astype(np.int64), mask=gone), pa.array(prefix.astype(np.int32), mask=gone), *lists], schema=schema)
+        return pa.table([table.column("doc_id"), pa.array(sets.n), pa.array(sets.print.view(np.int64), mask=empty), pa.array(shared.astype(np.int64), mask=gone), pa.array(prefix.astype(np.int32), mask=gone), pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits.view(np.int64).ravel())), pa.array(slack.astype(np.int32)), *lists], schema=schema)
 
-    out = "doc_id long, n_shingles long, node long, shared long, prefix int, tokens array<long>, places array<smallint>"
+    out = "doc_id long, n_shingles long, node long, shared long, prefix int, bits array<long>, slack int, tokens array<long>, places array<smallint>"
     return ws.save(docs.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(send, out), "sets")
 
 
-def may_link(a: str, b: str) -> Column:
+def least_overlap() -> Column:
+    """The overlap that a link between sets a and b needs."""
+    total = F.col("n_a") + F.col("n_b")
+    return F.ceil(total * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR) - F.lit(1e-9))
+
+
+def may_link() -> Column:
     """Sizes and shared shingles allow the overlap that a link needs."""
-    total = F.col(f"n_{a}") + F.col(f"n_{b}")
-    least = F.ceil(total * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR) - F.lit(1e-9))
-    return (F.least(f"n_{a}", f"n_{b}") >= least) & (F.least(f"c_{a}", f"c_{b}") >= least)
+    return (F.least("n_a", "n_b") >= least_overlap()) & (F.least("c_a", "c_b") >= least_overlap())
+
+
+def promising(meetings: DataFrame) -> DataFrame:
+    """Pairs a < b with the prefix shingles that they share, if those are enough.
+
+    ``meetings``: a row for each shared prefix shingle, with n, c and r of both.  What two
+    sets share besides lies behind the prefix of the one that ends first.
+    """
+    told = meetings.groupBy("a", "b", "n_a", "n_b", "r_a", "r_b").agg(F.count(F.lit(1)).alias("v"))
+    return told.where(F.col("v") + F.greatest("r_a", "r_b") >= least_overlap()).select("a", "b", "v")
+
+
+def _meeting(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Meetings of sets of two sides, of different components x and y, each pair with a < b."""
+    both = left.join(right, on).where("x <> y")
+    first = F.col("node_x") < F.col("node_y")
+    ordered = [F.when(first, F.col(f"{k}_{p}")).otherwise(F.col(f"{k}_{q}")).alias(name) for k in ("node", "n", "c", "r") for p, q, name in (("x", "y", f"{k}_a"), ("y", "x", f"{k}_b"))]
+    return both.select("token", *ordered).withColumnsRenamed({"node_a": "a", "node_b": "b"}).where(may_link())
+
+
+def _side(rows: DataFrame, p: str, *more: str) -> DataFrame:
+    return rows.select("token", *more, *[F.col(k).alias(f"{k}_{p}") for k in ("node", "n", "c", "r")])
 
 
 def pivots(nodes: DataFrame, fragments: int) -> list[dict]:
@@ -184,35 +225,75 @@ def verified(ws: Workspace, pairs: DataFrame, nodes: DataFrame, cuts: list[dict]
     return out
 
 
+def across(mixed: DataFrame, cells: DataFrame, tokens: DataFrame) -> DataFrame:
+    """All pairs a < b of sets in different components that may link.
+
+    Of two components of a shingle one is not its largest, so only sets outside the
+    largest look for partners.  Two sets that need an overlap of o share a shingle among the
+    first n - o + 1 of each, and what their prefixes share is bounded by their bitmaps.
+    """
+    largest = cells.join(tokens.select("token"), "token").groupBy("token").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
+    keep = ["node", "n", "c", "r", "at", "component", "slack", *[f"bits{k}" for k in range(BITS // 64)]]
+    rows = mixed.join(largest, "token")
+    x = rows.where("component <> largest").select("token", *[F.col(k).alias(f"{k}_a") for k in keep])
+    y = rows.select("token", (F.col("component") == F.col("largest")).alias("main"), *[F.col(k).alias(f"{k}_b") for k in keep])
+    both = sum((F.bit_count(F.col(f"bits{k}_a").bitwiseAND(F.col(f"bits{k}_b"))) for k in range(BITS // 64)), F.lit(0))
+    shared = both + F.least("slack_a", "slack_b")
+    early = (F.col("at_a") <= F.col("n_a") - least_overlap()) & (F.col("at_b") <= F.col("n_b") - least_overlap())
+    enough = shared + F.greatest("r_a", "r_b") >= least_overlap()
+    once = F.col("main") | (F.col("node_a") < F.col("node_b"))
+    found = x.join(y, (x["token"] == y["token"]) & (F.col("component_a") != F.col("component_b")) & once & may_link() & early & enough)
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def linked_sets(ws: Workspace, sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
     """node, component of every set that links to another."""
-    nodes = sets.where("tokens is not null").select("node", F.col("n_shingles").alias("n"), F.col("shared").alias("c"), "prefix", "tokens", "places")
+    nodes = sets.where("tokens is not null").select("node", F.col("n_shingles").alias("n"), F.col("shared").alias("c"), "prefix", "bits", "slack", "tokens", "places")
     nodes = ws.save(nodes.dropDuplicates(["node"]), "nodes")
-    prefix = ws.save(nodes.select("node", "n", "c", F.explode(F.slice("tokens", 1, F.col("prefix"))).alias("token")), "prefix")
-    anchor = prefix.groupBy("token").agg(F.min(F.struct("n", "node", "c")).alias("x"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    anchor = ws.save(anchor.select("token", F.col("x.node").alias("node_b"), F.col("x.n").alias("n_b"), F.col("x.c").alias("c_b")), "anchor")
-    near = prefix.select("token", F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("c").alias("c_a")).join(anchor, "token").where("node_a <> node_b").where(may_link("a", "b"))
-    votes = near.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("v"))
-    first = votes.groupBy("node_a").agg(F.max_by("node_b", F.struct("v", "node_b")).alias("node_b"))
-    pairs = ws.save(first.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs1")
     cuts = pivots(nodes, fragments)
-    links = verified(ws, pairs, nodes, cuts, "one")
-    # what is not in one component yet: all pairs across components, shingle by shingle
-    known = connected_components(ws, links, "early")
-    known = ws.save(known, "early")
-    placed = prefix.join(known, "node", "left").select("token", "node", "n", "c", F.coalesce("component", "node").alias("component"))
-    placed = ws.save(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    mixed = ws.save(placed.join(ws.save(mixed, "mixed_tokens"), "token"), "mixed")
-    cells = ws.save(mixed.select("token", "component").distinct(), "cells")
-    across = cells.select("token", F.col("component").alias("x")).join(cells.select("token", F.col("component").alias("y")), "token").where("x < y")
-    side = lambda s, p: mixed.select("token", F.col("component").alias(p), F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), F.col("c").alias(f"c_{s}"))
-    rest = across.join(side("a", "x"), ["token", "x"]).join(side("b", "y"), ["token", "y"]).where(may_link("a", "b"))
-    rest = rest.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    rest = ws.save(rest.join(pairs, ["a", "b"], "left_anti"), "pairs2")
-    more = verified(ws, rest, nodes, cuts, "two")
-    joined = ws.save(links.unionByName(more), "links")
-    return ws.save(connected_components(ws, joined, "all"), "components")
+    own = F.slice("tokens", 1, F.col("prefix"))
+    prefix = nodes.select("node", "n", "c", (F.col("c") - F.col("prefix")).alias("r"), *[F.col("bits")[k].alias(f"bits{k}") for k in range(BITS // 64)], "slack", F.posexplode(own).alias("at", "token"))
+    open_ = ws.save(prefix.withColumn("at", F.col("at") + F.col("n") - F.col("c")).withColumn("component", F.col("node")), "open")
+    links, gained, most = None, 0, 0
+    for k in range(MOST_ROUNDS + 1):
+        # shingles whose sets lie in different components; how many pairs across components they hold
+        cells = ws.save(open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m")), f"cells{k}")
+        tokens = cells.groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.count(F.lit(1)).alias("components")).where("components > 1")
+        tokens = ws.save(tokens, f"tokens{k}")
+        seen = tokens.agg(F.sum("m").alias("rows"), (F.sum(F.col("m") * F.col("m") - F.col("inside")) / 2).alias("pairs")).first()
+        if not seen["rows"]:
+            break
+        mixed = ws.save(open_.join(tokens.select("token"), "token"), f"mixed{k}")
+        last = seen["pairs"] <= EXACT_PAIRS * seen["rows"] or (k > 0 and gained * FADED <= most) or k == MOST_ROUNDS
+        if last:
+            pairs = across(mixed, cells, tokens)
+        else:
+            # a star for each shingle: its sets meet one that has little of its own, another one in each round
+            turn = (F.col("n") - F.col("c")) / F.col("n") + F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1000)) * (SPREAD * k / 1000)
+            centre = mixed.groupBy("token").agg(F.min(F.struct(turn.alias("turn"), "node", "n", "c", "r", "component")).alias("s")).select("token", "s.node", "s.n", "s.c", "s.r", "s.component")
+            centre = ws.save(centre, f"centre{k}")
+            met = _meeting(_side(mixed.withColumnRenamed("component", "x"), "x", "x"), _side(centre.withColumnRenamed("component", "y"), "y", "y"), ["token"])
+            told = promising(met)
+            ends = told.select("*", F.explode(F.array(F.col("a"), F.col("b"))).alias("node"))
+            # of the two ends of a pair the one that is no centre decides: it has few pairs
+            best = ends.groupBy("node").agg(F.max(F.struct("v", "a", "b")).alias("p"))
+            pairs = best.select("p.a", "p.b").distinct()
+        pairs = pairs.select("a", "b")
+        if links is not None:
+            pairs = pairs.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        new = verified(ws, ws.save(pairs, f"pairs{k}"), nodes, cuts, f"round{k}")
+        links = new if links is None else ws.save(links.unionByName(new), f"links{k}")
+        if last:
+            break
+        gained = new.count()
+        most = max(most, gained)
+        # as good as final: what has one label here is connected
+        known = ws.save(connected_components(ws, links, f"early{k}", rounds=2), f"known{k}")
+        open_ = ws.save(mixed.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), f"open{k}")
+        ws.drop(f"cells{k}", f"tokens{k}", f"mixed{k}", f"centre{k}", f"pairs{k}", f"known{k}", "open" if k == 0 else f"open{k - 1}")
+    if links is None:
+        links = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    return ws.save(connected_components(ws, links, "all"), "components")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
