@@ -349,3 +349,26 @@ def test_sha_of_kept_words(spark, data):
     r = repeats.op1_repeats(spark, data).where("doc_id = 0").first()
     text = spark.read.parquet(f"{data}/documents.parquet").where("doc_id = 0").first().text
     assert r.kept_sha256 == hashlib.sha256(" ".join(WORD.findall(text)).encode()).hexdigest()
+
+
+def test_edits():
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    draw = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(draw.choice("abé ") for _ in range(draw.randrange(14))) for _ in range(2))
+        d = plain(a, b)
+        assert lines.edits(a, b, 20) == d
+        assert (lines.edits(a, b, 3) <= 3) == (d <= 3)
