@@ -66,18 +66,17 @@ def before(messages: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def follow(parents: DataFrame, ws: Workspace) -> DataFrame:
-    """conv_id, turn, root_turn, depth: parents are followed twice as far in every round."""
-    now = parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"), F.when(F.col("parent_turn").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    """conv_id, turn, root_turn, depth: parents are followed twice as far in every round, where they lead on."""
+    asked = F.col("parent_turn").isNotNull()
+    now = parents.select("conv_id", "turn", F.coalesce("parent_turn", "turn").alias("root_turn"), asked.cast("long").alias("depth"), asked.alias("open"))
     now = ws.save(now, "jump0")
     for k in range(1, MOST_JUMPS):
         up = now.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("next"), F.col("depth").alias("more"))
-        step = now.join(up, ["conv_id", "root_turn"]).select("conv_id", "turn", F.col("next").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
-        step = ws.save(step, f"jump{k}")
-        moved = step.where("moved").limit(1).count()
-        now = step.drop("moved")
-        if not moved:
+        step = now.where("open").join(up, ["conv_id", "root_turn"]).select("conv_id", "turn", F.col("next").alias("root_turn"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("open"))
+        now = ws.save(now.where("not open").unionByName(step), f"jump{k}")
+        if not now.where("open").limit(1).count():
             break
-    return now
+    return now.drop("open")
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
