@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import relational, scalars, tpch
+from lodestone.plans import feeds, relational, scalars, tpch
 
-_MODULES = (tpch, relational, scalars)
+_MODULES = (tpch, relational, scalars, feeds)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

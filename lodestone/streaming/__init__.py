@@ -1 +1 @@
-
+"""Structured Streaming over the event feed and over change feeds."""
