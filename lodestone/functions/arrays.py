@@ -194,7 +194,7 @@ def lquery(path: Column, query: str) -> Column:
     for level in query.split("."):
         m = re.fullmatch(r"\*(?:\{(\d*)(,?)(\d*)\})?", level)
         if m:
-            lo, comma, hi = m[1] or "0", m[2], m[3]
+            lo, comma, hi = m[1] or "0", m[2], m[3] or ""
             n = f"{{{lo},{hi}}}" if comma or m[1] is None else f"{{{lo}}}"
             out.append(rf"(?:[^.]+\.){n}")
             continue

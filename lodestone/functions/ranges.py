@@ -17,6 +17,7 @@ def make_range(lower: Column, upper: Column, bounds: str = "[)", discrete: bool
             hi = upper + step
         lo_inc, hi_inc = F.lit(True), F.lit(False)
     wrong = F.coalesce(lower > upper, F.lit(False))
+    lo_inc, hi_inc = lo_inc & lo.isNotNull(), hi_inc & hi.isNotNull()
     none = F.coalesce((lo > hi) | ((lo == hi) & ~(lo_inc & hi_inc)), F.lit(False))
     made = F.struct(
         F.when(~none, lo).alias("lower"), F.when(~none, hi).alias("upper"),

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def strict(function: Callable[..., Column]) -> Callable[..., Column]:
@@ -26,7 +27,7 @@ def domain(value: Column, check: Column, name: str) -> Column:
     return F.when(F.coalesce(check, F.lit(True)), value).otherwise(F.raise_error(F.lit(f"value for domain {name} violates check constraint")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geometric_mean(v: pd.Series) -> float:
     """A user aggregate: the geometric mean of the positive values."""
     import numpy as np
@@ -35,7 +36,7 @@ def geometric_mean(v: pd.Series) -> float:
     return float(np.exp(np.log(v).mean())) if len(v) else float("nan")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """normalize(text, NFC)."""
     import unicodedata
@@ -44,7 +45,7 @@ def normalised(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.udtf(returnType="position int, word string")
+@F.udtf(returnType=T.StructType([T.StructField("position", T.IntegerType()), T.StructField("word", T.StringType())]))
 class Words:
     """A table function: the words of a text with their places."""
 

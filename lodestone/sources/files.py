@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+#: Stands for a quoted empty field while a file is read.
+_EMPTY = "\x01empty\x01"
+
 
 def copy_from(spark: SparkSession, path: str, schema: str, *, form: str = "csv", header: bool = False, delimiter: str | None = None, quote: str = '"', escape: str | None = None, null: str | None = None, encoding: str = "UTF-8", force_not_null: Sequence[str] = (), force_null: Sequence[str] = (), where: Column | None = None) -> DataFrame:
     """COPY FROM, and file tables: a bad row is an error; ``where`` keeps rows as they come in.
@@ -17,10 +21,13 @@ def copy_from(spark: SparkSession, path: str, schema: str, *, form: str = "csv",
     delimiter = delimiter or ("," if form == "csv" else "\t")
     reader = spark.read.schema(schema).option("sep", delimiter).option("header", header).option("encoding", encoding).option("mode", "FAILFAST")
     if form == "csv":
-        reader = reader.option("quote", quote).option("escape", escape or quote).option("nullValue", null or "").option("emptyValue", "")
+        reader = reader.option("quote", quote).option("escape", escape or quote).option("nullValue", null or "").option("emptyValue", _EMPTY)
     else:
         reader = reader.option("quote", "").option("nullValue", null if null is not None else "\\N")
     df = reader.csv(path)
+    texts = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+    if form == "csv":  # a quoted empty field is a text, not NULL
+        df = df.select(*[F.when(F.col(c) == _EMPTY, "").otherwise(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns])
     for c in force_not_null:
         df = df.withColumn(c, F.coalesce(F.col(c), F.lit(null or "")))
     for c in force_null:
@@ -64,7 +71,7 @@ class Cursor:
         self._rows: Iterator[Row] = df.toLocalIterator()
 
     def fetch(self, n: int = 1) -> list[Row]:
-        return [r for r, _ in zip(self._rows, range(n), strict=False)]
+        return list(islice(self._rows, n))
 
     def move(self, n: int) -> int:
         return len(self.fetch(n))

@@ -1,4 +1,8 @@
-"""A foreign table on the Python data source API: numbers of a range, with filters pushed down."""
+"""A foreign table on the Python data source API: numbers of a range.
+
+Its filters are pushed down where spark.sql.python.filterPushdown.enabled is set; the
+reader then narrows the range before any partition is planned.
+"""
 
 from __future__ import annotations
 
