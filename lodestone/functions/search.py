@@ -17,6 +17,11 @@ from lodestone.functions.arrays import _boolean
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, also where the body uses it within lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _lexemes(text: Column, stop: bool) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     placed = F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("position")))
@@ -27,10 +32,20 @@ def _lexemes(text: Column, stop: bool) -> Column:
 
 
 def to_tsvector(text: Column, stop: bool = True) -> Column:
-    """Lexemes are the words in lower case; stop words keep their place but are left out."""
-    placed = _lexemes(text, stop)
-    distinct = F.array_sort(F.array_distinct(F.transform(placed, lambda s: s["lexeme"])))
-    return F.transform(distinct, lambda x: F.struct(x.alias("lexeme"), F.transform(F.filter(placed, lambda s: s["lexeme"] == x), lambda s: s["position"]).alias("positions")))
+    """Lexemes are the words in lower case; stop words keep their place but are left out.
+
+    The places are sorted by lexeme once and cut where the lexeme changes.
+    """
+
+    def cut(placed: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(placed) - 1)
+        new = lambda i: (i == 0) | (F.get(placed, i)["lexeme"] != F.get(placed, i - 1)["lexeme"])
+        starts = F.when(F.size(placed) > 0, F.filter(at, new)).otherwise(F.array().cast("array<int>"))
+        return let(starts, lambda first: F.transform(first, lambda x, k: F.struct(
+            F.get(placed, x)["lexeme"].alias("lexeme"),
+            F.transform(F.slice(placed, x + 1, F.coalesce(F.get(first, k + 1), F.size(placed)) - x), lambda s: s["position"]).alias("positions"))))
+
+    return let(F.array_sort(_lexemes(text, stop)), cut)
 
 
 def strip(vector: Column) -> Column:
