@@ -13,7 +13,7 @@ P = Pairs()
 
 # Scans and sources ------------------------------------------------------------------
 P.same("scan_filter_project", "SELECT l_orderkey, l_partkey, l_quantity FROM {lineitem} WHERE l_quantity > 45 AND l_discount = 0.05")
-P.same("scan_bitmap_or", "SELECT o_orderkey, o_custkey FROM {orders} WHERE (o_custkey < 20 OR o_orderpriority = '1-URGENT') AND o_orderstatus = 'F'")
+P.same("scan_bitmap_or", "SELECT o_orderkey, o_custkey FROM {orders} WHERE (o_totalprice < 20000 OR o_orderpriority = '1-URGENT') AND o_orderstatus = 'F'")
 P.same("scan_values", "SELECT * FROM (VALUES (1, 'one'), (2, 'two'), (3, NULL)) AS v(id, name)")
 P.same("scan_subquery", "SELECT k, n FROM (SELECT l_returnflag AS k, count(*) AS n FROM {lineitem} GROUP BY l_returnflag) AS s WHERE n > 10")
 P.same("scan_result_one_time_filter", "SELECT n_nationkey FROM {nation} WHERE 1 = 2")
@@ -51,10 +51,9 @@ def srf_generate_series(t):
     return R.generate_series(t.spark, 1, 20, 3)
 
 
-@P.add("srf_lockstep", "SELECT n_nationkey, unnest(generate_series(1, 2)) AS a, unnest(generate_series(1, 4)) AS b FROM nation WHERE n_nationkey < 3")
+@P.add("srf_lockstep", "SELECT n_nationkey, unnest(generate_series(1, 2)) AS a, unnest(generate_series(1, 4)) AS b FROM nation")
 def srf_lockstep(t):
-    out = R.lockstep(t.nation.where("n_nationkey < 3").select("n_nationkey"), a=F.expr("sequence(1L, 2L)"), b=F.expr("sequence(1L, 4L)"))
-    return out
+    return R.lockstep(t.nation.select("n_nationkey"), a=F.expr("sequence(1L, 2L)"), b=F.expr("sequence(1L, 4L)"))
 
 
 @P.add("srf_rows_from_ordinality", "SELECT r_regionkey, part, row_number() OVER (PARTITION BY r_regionkey ORDER BY i) AS ord FROM (SELECT r_regionkey, unnest(string_split(r_name, 'A')) AS part, generate_subscripts(string_split(r_name, 'A'), 1) AS i FROM region)")
@@ -64,19 +63,19 @@ def srf_rows_from(t):
 
 # Predicates -------------------------------------------------------------------------
 P.same("pred_case", "SELECT p_size, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'medium' ELSE 'large' END AS class, count(*) AS n FROM {part} GROUP BY 1, 2")
-P.same("pred_coalesce_nullif", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'pending') AS s, greatest(o_custkey, 100) AS g, least(o_custkey, NULL, 50) AS l FROM {orders} WHERE o_orderkey < 300")
+P.same("pred_coalesce_nullif", "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'pending') AS s, greatest(o_custkey, 100) AS g, least(o_custkey, NULL, 50) AS l FROM {orders}")
 P.same("pred_in_list", "SELECT count(*) AS n FROM {part} WHERE p_type IN ('PROMO', 'SMALL') AND p_size NOT IN (1, 2, 3)")
 P.same("pred_null_tests", "SELECT x, x IS NULL AS a, x IS TRUE AS b, x IS NOT FALSE AS c, x IS NOT DISTINCT FROM NULL AS d FROM (VALUES (true), (false), (CAST(NULL AS BOOLEAN))) AS v(x)",
        "SELECT x, x IS NULL AS a, x IS NOT DISTINCT FROM true AS b, x IS DISTINCT FROM false AS c, x IS NOT DISTINCT FROM NULL AS d FROM (VALUES (true), (false), (CAST(NULL AS BOOLEAN))) AS v(x)")
 P.same("pred_three_valued", "SELECT a, b, a AND b AS conj, a OR b AS disj, NOT a AS neg FROM (VALUES (true), (false), (CAST(NULL AS BOOLEAN))) AS x(a) CROSS JOIN (VALUES (true), (false), (CAST(NULL AS BOOLEAN))) AS y(b)")
 P.same("pred_like", "SELECT p_partkey, p_name FROM {part} WHERE p_name LIKE 's%' AND p_name NOT LIKE '%nut' AND p_name ILIKE '%RING%'")
 P.same("pred_regex", "SELECT p_partkey, p_name FROM {part} WHERE regexp_like(p_name, '^(red|blue) [a-n]')", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^(red|blue) [a-n]')")
-P.same("pred_row_compare", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} WHERE struct(l_orderkey, l_linenumber) < struct(100L, 3)", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) < (100, 3)")
+P.same("pred_row_compare", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} WHERE struct(l_quantity, l_linenumber) < struct(25.0D, 3)", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_quantity, l_linenumber) < (25.0, 3)")
 P.same("pred_exists", "SELECT c_custkey FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 P.same("pred_not_exists", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
 P.same("pred_not_in_null_aware", "SELECT n_nationkey FROM {nation} WHERE n_nationkey NOT IN (SELECT nullif(c_nationkey, 3) FROM {customer})")
 P.same("pred_in_subquery", "SELECT count(*) AS n FROM {lineitem} WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_size = 7)")
-P.same("pred_scalar_subquery_correlated", "SELECT o_orderkey, (SELECT count(*) FROM {lineitem} WHERE l_orderkey = o_orderkey) AS n FROM {orders} WHERE o_orderkey < 500")
+P.same("pred_scalar_subquery_correlated", "SELECT o_orderkey, (SELECT count(*) FROM {lineitem} WHERE l_orderkey = o_orderkey) AS n FROM {orders}")
 P.same("pred_quantified_all", "SELECT p_partkey FROM {part} WHERE p_retailprice >= (SELECT max(p_retailprice) FROM {part})", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part)")
 P.same("pred_between_symmetric", "SELECT p_partkey FROM {part} WHERE p_size BETWEEN least(20, 15) AND greatest(20, 15)", "SELECT p_partkey FROM part WHERE p_size BETWEEN 15 AND 20")
 P.same("pred_collate", "SELECT r_name FROM {region} WHERE r_name COLLATE UTF8_LCASE = 'asia'", "SELECT r_name FROM region WHERE r_name COLLATE NOCASE = 'asia'")
@@ -85,7 +84,7 @@ P.same("cast_rounding", "SELECT x, CAST(rint(x) AS INT) AS half_even, CAST(round
 
 # Joins ------------------------------------------------------------------------------
 P.same("join_inner", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_acctbal > 9000")
-P.same("join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE c_custkey < 200")
+P.same("join_left", "SELECT c_custkey, o_orderkey FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 300000")
 P.same("join_right", "SELECT c_custkey, n_name FROM {customer} RIGHT JOIN {nation} ON c_nationkey = n_nationkey AND c_acctbal > 9900")
 P.same("join_full", "SELECT a.p_size AS a, b.p_size AS b FROM (SELECT DISTINCT p_size FROM {part} WHERE p_size < 30) a FULL JOIN (SELECT DISTINCT p_size FROM {part} WHERE p_size > 20) b ON a.p_size = b.p_size")
 P.same("join_semi", "SELECT s_suppkey FROM {supplier} LEFT SEMI JOIN {customer} ON s_nationkey = c_nationkey AND c_acctbal > 9950", "SELECT s_suppkey FROM supplier SEMI JOIN customer ON s_nationkey = c_nationkey AND c_acctbal > 9950")
@@ -97,7 +96,7 @@ P.same("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation
 P.same("join_or_of_ands", "SELECT count(*) AS n FROM {lineitem} JOIN {part} ON (l_partkey = p_partkey AND p_size < 5 AND l_quantity < 10) OR (l_partkey = p_partkey AND p_size > 45 AND l_quantity > 40)")
 P.same("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM {supplier} a JOIN {supplier} b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 P.same("join_aggregated", "SELECT p_partkey, n FROM {part} JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey) a ON p_partkey = l_partkey WHERE n > 40")
-P.same("join_lateral", "SELECT c_custkey, o.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o WHERE c_custkey < 100")
+P.same("join_lateral", "SELECT c_custkey, o.o_orderkey FROM {customer}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) o")
 
 
 @P.add("join_asof", """
@@ -136,17 +135,17 @@ def dml_delete(t):
 
 
 @P.add("dml_upsert", """
-SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT BETWEEN 20 AND 24 UNION ALL SELECT n_nationkey + 20, 'new ' || n_name FROM nation WHERE n_nationkey < 10""")
+SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey + 20 FROM nation) UNION ALL SELECT n_nationkey + 20, 'new ' || n_name FROM nation""")
 def dml_upsert(t):
     nation = t.nation.select("n_nationkey", "n_name")
-    new = nation.where("n_nationkey < 10").select((F.col("n_nationkey") + 20).alias("n_nationkey"), F.concat(F.lit("new "), "n_name").alias("n_name"))
+    new = nation.select((F.col("n_nationkey") + 20).alias("n_nationkey"), F.concat(F.lit("new "), "n_name").alias("n_name"))
     return R.upsert(nation, new, ["n_nationkey"])
 
 
-@P.add("dml_insert_do_nothing", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 20, 'new ' || n_name FROM nation WHERE n_nationkey BETWEEN 5 AND 9")
+@P.add("dml_insert_do_nothing", "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey + 20, 'new ' || n_name FROM nation WHERE n_nationkey + 20 NOT IN (SELECT n_nationkey FROM nation)")
 def dml_do_nothing(t):
     nation = t.nation.select("n_nationkey", "n_name")
-    new = nation.where("n_nationkey < 10").select((F.col("n_nationkey") + 20).alias("n_nationkey"), F.concat(F.lit("new "), "n_name").alias("n_name"))
+    new = nation.select((F.col("n_nationkey") + 20).alias("n_nationkey"), F.concat(F.lit("new "), "n_name").alias("n_name"))
     return R.upsert(nation, new, ["n_nationkey"], update=False)
 
 
