@@ -313,7 +313,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     chunk = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, int((total * 100) ** 0.5)))
     fragments = max(1, -(-(total // 6) // COUNT_SHINGLES))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-total // chunk)))).cast("int"))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(max(1, -(-total // chunk)))).cast("int"))
     codes = frequencies(docs, fragments, k, ws)
     sets = shared_sets(docs, codes, fragments, k, ws)
     components = linked_sets(ws, sets)
@@ -327,7 +327,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, with its columns; rows without an id stay."""
+    """The document with the smallest id of each component, with its columns; rows without an id stay, and so do all rows of an id that is kept."""
     found = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(fresh(docs, "kept_id"))).distinct()
     name = found.columns[0]
     kept = docs.join(found, F.col("doc_id") == F.col(name), "left").where(F.col(name).isNotNull() | F.col("doc_id").isNull())

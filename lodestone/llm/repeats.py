@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ws = Workspace(docs.sparkSession, "repeats")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     plan = file_prefixes(docs, sizes(docs, min_words))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(plan.chunks)).cast("int"))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(plan.chunks)).cast("int"))
     again = repeated_windows(docs, plan, ws)
     deep = deep_nodes(docs, again, plan, ws)
     return remove_below(docs, deep, plan)
