@@ -367,8 +367,10 @@ def test_edits():
         return out
 
     draw = random.Random(5)
-    for _ in range(400):
-        a, b = ("".join(draw.choice("abé ") for _ in range(draw.randrange(14))) for _ in range(2))
-        d = plain(a, b)
-        assert lines.edits(a, b, 20) == d
-        assert (lines.edits(a, b, 3) <= 3) == (d <= 3)
+    pairs = [tuple("".join(draw.choice("abé ") for _ in range(draw.randrange(14))) for _ in range(2)) for _ in range(400)]
+    for n in (63, 64, 65, 128, 200, 1100):  # over the ends of words
+        x = "".join(draw.choice("abcdef") for _ in range(n))
+        pairs += [(x, x[:k] + draw.choice("xyz") + x[k + draw.randrange(3) :] + "q" * draw.randrange(5)) for k in range(0, n, 9 if n < 1000 else 200)]
+    want = [plain(a, b) for a, b in pairs]
+    assert [lines.edits(a, b, 500) for a, b in pairs] == want
+    assert [lines.edits(a, b, 3) <= 3 for a, b in pairs] == [d <= 3 for d in want]
