@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import chat, lines, mixing, ngrams, packing, quality, repeats, sharding
@@ -286,6 +287,24 @@ def test_lines_exact_and_fuzzy(spark):
     assert left.columns == frame.columns and Counter(r.doc_id for r in left.collect()) == Counter([1, 2, 3, 4, 5, 6, 7, 7])
 
 
+def test_near_lines_meet_whatever_else_is_in_their_block(spark):
+    """Lines of the same words in other orders have the same SimHash, but are not alike: they must not hide those that are."""
+    rng, table = np.random.default_rng(5), []
+    for base in range(3):
+        line = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(40)]
+        changed = next(c for k in range(40) if len(_blocks(" ".join(line)) & _blocks(c := " ".join([*line[:k], "q" + line[k][1:], *line[k + 1 :]]))) > 1)
+        others = [" ".join(rng.permutation(line)) for _ in range(60 if base else 12)]
+        table += [(1000 * base + i, t) for i, t in enumerate([" ".join(line), *others, changed])]
+    out = lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in out if r.removed_lines) == [13, 1061, 2061]
+
+
+def _blocks(text):
+    bits = "".join(f"{int(v) & (1 << 64) - 1:064b}" for v in lines.signatures(pa.array([text]))[1][0][0])
+    width = lines.BITS // lines.BLOCKS
+    return {(k, bits[k * width : (k + 1) * width]) for k in range(lines.BLOCKS)}
+
+
 def test_lines_remove_all_exact_repeats_and_most_fuzzy_ones(docs):
     """Against all pairs: no exact repeat stays, nothing unlike goes, most near lines are found."""
     from difflib import SequenceMatcher
