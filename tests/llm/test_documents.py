@@ -299,6 +299,21 @@ def test_near_lines_meet_whatever_else_is_in_their_block(spark):
     assert sorted(r.doc_id for r in out if r.removed_lines) == [13, 1061, 2061]
 
 
+def test_short_near_lines_are_all_found(spark):
+    """Every variant with as many edits as are alike, at any places, goes with its line."""
+    rng, table = np.random.default_rng(6), []
+    for base in range(400):
+        line = " ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 9))) for _ in range(60))[: 9 + base * 120 // 400].strip()
+        changed = list(line)
+        for _ in range(int(len(line) / 10)):
+            k = int(rng.integers(len(changed)))
+            changed[k : k + 1] = [["x"], [], ["x", changed[k]]][rng.integers(3)]
+        table += [(base, line), (1000 + base, " ".join("".join(changed).split()))]
+    out = {r.doc_id: r.removed_lines for r in lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert [i for i, t in table if not out[i] and any(lines.alike(t, u, 0.9) for k, u in table if k < i)] == []
+    assert sum(map(bool, out.values())) > 300
+
+
 def _blocks(text):
     bits = "".join(f"{int(v) & (1 << 64) - 1:064b}" for v in lines.signatures(pa.array([text]))[1][0][0])
     width = lines.BITS // lines.BLOCKS
