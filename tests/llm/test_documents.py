@@ -314,6 +314,12 @@ def test_short_near_lines_are_all_found(spark):
     assert sum(map(bool, out.values())) > 300
 
 
+def test_documents_in_other_scripts_keep_their_other_lines(spark):
+    texts = ["общая строка\nпервый текст", "общая строка\nвторой текст", "общая строка\n一二三", "общая строка\n\u2014 \u2026 ..."]
+    left = lines.without_repeated_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in left} == {0: texts[0], 1: "второй текст", 2: "一二三"}
+
+
 def _blocks(text):
     bits = "".join(f"{int(v) & (1 << 64) - 1:064b}" for v in lines.signatures(pa.array([text]))[1][0][0])
     width = lines.BITS // lines.BLOCKS
