@@ -9,11 +9,14 @@
    range expands over the edges as long as it finds vectors within the threshold.
    Every link is verified by the cosine in double precision.
 5. Recall is audited on a fixed number of nodes against all vectors of their label, and
-   the overlap is widened where it is too low.
+   the overlap is widened where it is too low.  Once every node is in every shard of its
+   label, all vectors of the shard are compared, which is exact.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +31,7 @@ THRESHOLD = 0.93
 CLUSTER, MOST_CENTROIDS, OVERLAP = 512, 4096, 3
 #: Edges out of a node, candidates it is pruned from, slack of the pruning, width of the beam.
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 16
-AUDIT, LEAST_RECALL, TRIES = 256, 0.97, 3
+AUDIT, LEAST_RECALL = 256, 0.97
 _BLOCK = 1024
 
 
@@ -170,10 +173,11 @@ def _adjacency(ws: Workspace, dealt: DataFrame) -> DataFrame:
     return ws.save(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
 
 
-def _links(dealt: DataFrame, adjacency: DataFrame, threshold: float) -> DataFrame:
+def _links(dealt: DataFrame, adjacency: DataFrame, threshold: float, exact: bool = False) -> DataFrame:
     """node, n_links (to copies of other nodes), linked (the smallest node that it hangs together with here).
 
-    Nodes that are guests of a shard come without n_links, if they are linked there.
+    Nodes that are guests of a shard come without n_links, if they are linked there.  With
+    ``exact``, a node is compared with all of its home shard.
     """
     rows = dealt.select("node", "label", "copies", "v", "cluster", "home").join(adjacency, "node", "left")
     schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("linked", pa.int64())])
@@ -202,11 +206,14 @@ def _links(dealt: DataFrame, adjacency: DataFrame, threshold: float) -> DataFram
         edges[pairs[order, 0], np.minimum(slot, DEGREE - 1)] = to[order]
         medoid = int(np.argmax(x @ x.mean(axis=0)))
         mine = np.flatnonzero(home)
-        found = greedy(x, edges, x[mine], medoid)
+        found = None if exact else greedy(x, edges, x[mine], medoid)
         n_links, root = np.zeros(len(mine), np.int64), np.arange(len(node))
         for k, u in enumerate(mine):
-            seeds = np.unique(np.r_[found[k][found[k] >= 0], u])
-            inside = search_range(x, start, to, x[u], seeds, threshold - 1e-9)
+            if exact:
+                inside = np.flatnonzero(x @ x[u] >= threshold - 1e-9)
+            else:
+                seeds = np.unique(np.r_[found[k][found[k] >= 0], u])
+                inside = search_range(x, start, to, x[u], seeds, threshold - 1e-9)
             inside = inside[inside != u]
             inside = inside[(x[inside] * x[u]).sum(axis=1) >= threshold]  # one order of terms for both sides
             n_links[k] = copies[inside].sum()
@@ -267,11 +274,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     nodes = ws.save(nodes, "nodes")
     basic = nodes.select("node", "label", "copies", "v")
     centroids = _centroids(ws, basic)
-    for k in range(TRIES):
+    most = max(map(len, centroids.values()), default=1)
+    for k in itertools.count():
+        exact = k > 0 and overlap >= most
         dealt = ws.save(_dealt(basic, centroids, overlap), f"dealt{k}")
-        searched = ws.save(_links(dealt, _adjacency(ws, dealt), threshold), f"searched{k}")
+        searched = ws.save(_links(dealt, _adjacency(ws, dealt), threshold, exact), f"searched{k}")
         found = searched.where("n_links is not null").select("node", "n_links")
-        if audit(basic, found, threshold) >= LEAST_RECALL:
+        if exact or audit(basic, found, threshold) >= LEAST_RECALL:
             break
         overlap *= 2
     joined = connected_components(ws, searched.select(F.col("node").alias("a"), F.col("linked").alias("b")), "groups")

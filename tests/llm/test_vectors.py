@@ -49,6 +49,16 @@ def test_near_duplicates(vectors):
     assert Counter(tuple(r) for r in neighbours.near_duplicates(vectors).collect()) == want
 
 
+def test_links_are_whole_where_the_audit_never_holds(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CLUSTER", 6)
+    monkeypatch.setattr(neighbours, "audit", lambda *_: 0.0)
+    x = np.random.default_rng(3).normal(size=(60, 3)).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(table, 0.7, 1).collect()}
+    assert got == dict(enumerate(((u @ u.T >= 0.7).sum(1) - 1).tolist()))
+
+
 def test_recall_of_the_graph_alone():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
