@@ -23,14 +23,13 @@ def connected_components(ws: Workspace, edges: DataFrame, name: str = "cc", roun
     now, mark = ws.save(now, f"{name}0"), None
     for k in range(1, (rounds or MOST_ROUNDS) + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ws.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), f"{name}{k}least")
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = ws.save(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{name}{k}large")
-        least = ws.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}{k}small")
-        small = large.join(least, "a")
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         step = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         step = ws.save(step, f"{name}{k}")
         seen = step.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        ws.drop(f"{name}{k - 1}", f"{name}{k}least", f"{name}{k}large", f"{name}{k}small")
+        ws.drop(f"{name}{k - 1}", f"{name}{k}large")
         if (seen["n"], seen["h"]) == mark:
             break
         now, mark = step, (seen["n"], seen["h"])

@@ -88,8 +88,8 @@ def split(data: np.ndarray, bounds: np.ndarray, fold: bool = False) -> Words:
     return Words(hashes, begin, end, np.searchsorted(begin, bounds), data, bounds)
 
 
-def blocks(texts: pa.Array, fold: bool = False, size: int = BLOCK_BYTES) -> Iterator[tuple[int, Words]]:
-    """(index of its first text, words) for runs of texts of about ``size`` bytes; nulls have no words."""
+def byte_blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of its first text, bytes, bounds of texts in them) for runs of texts of about ``size`` bytes; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if pa.types.is_dictionary(texts.type) or texts.type not in (pa.large_string(), pa.large_binary()):
@@ -104,10 +104,23 @@ def blocks(texts: pa.Array, fold: bool = False, size: int = BLOCK_BYTES) -> Iter
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         to = min(to, n)
-        yield at, split(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], fold)
+        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
 
+def blocks(texts: pa.Array, fold: bool = False, size: int = BLOCK_BYTES) -> Iterator[tuple[int, Words]]:
+    """(index of its first text, words) for runs of texts of about ``size`` bytes; nulls have no words."""
+    for at, data, bounds in byte_blocks(texts, size):
+        yield at, split(data, bounds, fold)
+
+
+def rolling(data: np.ndarray, q: int) -> np.ndarray:
+    """A hash of every q bytes in a row."""
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(_BYTE[data] * _powers(_ROOT, len(data)), out=total[1:])
+    return mix((total[q:] - total[:-q]) * _powers(_INVERSE, len(data) - q + 1))
+
+
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every k consecutive words of one text, and the place of the first of them."""
     n = len(words.hashes)
