@@ -64,9 +64,70 @@ def each(df: DataFrame, column: str, key: str = "key", value: str = "value") ->
 
 
 def xml_table(df: DataFrame, column: str, rows: str, columns: dict[str, tuple[str, str]], ordinality: str | None = None) -> DataFrame:
-    """XMLTABLE: a row for each node at ``rows``; columns: name -> (relative path, type)."""
-    kept = df.columns
-    arrays = [F.xpath(F.col(column), F.lit(f"{rows}/{p}/text()")).alias(n) for n, (p, _) in columns.items()]
-    zipped = df.select("*", F.posexplode(F.arrays_zip(*arrays)).alias("at__", "row__"))
-    out = [F.col(f"row__.{n}").cast(t).alias(n) for n, (_, t) in columns.items()]
-    return zipped.select(*kept, *([(F.col("at__") + 1).alias(ordinality)] if ordinality else []), *out)
+    """XMLTABLE: a row for each node at ``rows`` (/root/.../node); columns: name -> (relative path, type; @x: an attribute).
+
+    The nodes are read first and the columns inside each of them, so a column that a node lacks is NULL.
+    """
+    fields: dict = {}
+    for path_, _ in columns.values():
+        at = fields
+        *above, last = path_.replace("@", "_").split("/")
+        for part in above:
+            at = at.setdefault(part, {})
+        at.setdefault(last, None)
+
+    def ddl(tree: dict) -> str:
+        return ", ".join(f"`{k}`: STRING" if v is None else f"`{k}`: STRUCT<{ddl(v)}>" for k, v in tree.items())
+
+    root, *inner, node = rows.strip("/").split("/")
+    schema = f"`{node}`: ARRAY<STRUCT<{ddl(fields)}>>"
+    for part in reversed(inner):
+        schema = f"`{part}`: STRUCT<{schema}>"
+    read = F.from_xml(F.col(column), f"STRUCT<{schema}>", {"rowTag": root, "attributePrefix": "_"})
+    for part in (*inner, node):
+        read = read[part]
+    placed = df.select("*", F.posexplode(read).alias("at__", "node__"))
+    out = [F.col("node__." + ".".join(f"`{x}`" for x in p.replace("@", "_").split("/"))).cast(t).alias(n) for n, (p, t) in columns.items()]
+    return placed.select(*df.columns, *([(F.col("at__") + 1).alias(ordinality)] if ordinality else []), *out)
+
+
+def canonical(j: Column) -> Column:
+    """A JSON text with sorted keys and no blanks: equal documents give equal texts (jsonb equality)."""
+    return F.to_json(F.try_parse_json(j))
+
+
+def json_equal(a: Column, b: Column) -> Column:
+    return canonical(a) == canonical(b)
+
+
+def object_agg(key: str, value: str) -> Column:
+    """json_object_agg, in the order of keys; a repeated key keeps its largest value."""
+    pairs = F.array_sort(F.collect_set(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+    last = F.filter(pairs, lambda p, i: (i == F.size(pairs) - 1) | (F.get(pairs, i + 1)["k"] != p["k"]))
+    return F.to_json(F.map_from_entries(last))
+
+
+def xml_text(value: Column) -> Column:
+    """A value with the marks of XML escaped."""
+    out = value.cast("string")
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def xml_element(name: str, *content: Column, **attributes: Column) -> Column:
+    """xmlelement(name, xmlattributes(...), content): contents are XML already; NULL ones and NULL attributes are left out."""
+    given = [F.concat(F.lit(f' {k}="'), F.replace(xml_text(v), F.lit('"'), F.lit("&quot;")), F.lit('"')) for k, v in attributes.items()]
+    inside = F.concat_ws("", *content) if content else F.lit("")
+    start = F.concat(F.lit(f"<{name}"), F.concat_ws("", *given) if given else F.lit(""))
+    return F.when(inside == "", F.concat(start, F.lit("/>"))).otherwise(F.concat(start, F.lit(">"), inside, F.lit(f"</{name}>")))
+
+
+def xml_forest(**values: Column) -> Column:
+    """xmlforest: an element for each value that is not NULL."""
+    return F.concat_ws("", *[F.when(v.isNotNull(), xml_element(k, xml_text(v))) for k, v in values.items()])
+
+
+def table_to_xml(df: DataFrame, order: Sequence[str], name: str = "table") -> DataFrame:
+    """table_to_xml: a row of XML for each row, and its place by ``order`` (the document is these rows in that order)."""
+    return df.select(*order, xml_element("row", *[xml_forest(**{c: F.col(c)}) for c in df.columns]).alias(name))

@@ -106,3 +106,13 @@ def atand(x: Column) -> Column:
 def width_bucket_of(x: Column, thresholds: Column) -> Column:
     """width_bucket(x, sorted thresholds)."""
     return F.size(F.filter(thresholds, lambda t: t <= x))
+
+
+def isfinite(x: Column) -> Column:
+    """Neither NaN nor an infinity."""
+    return ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+
+
+def normal_rand(spark, n: int, mean: float, spread: float, seed: int):
+    """normal_rand(n, mean, stddev): rows (number, value); the same for one seed and number of partitions."""
+    return spark.range(n).select((F.col("id") + 1).alias("number"), (F.lit(mean) + F.lit(spread) * F.randn(seed)).alias("value"))

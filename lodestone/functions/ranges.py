@@ -96,3 +96,40 @@ def merge(a: Column, b: Column) -> Column:
 def range_text(r: Column) -> Column:
     low, high = F.when(r["lower_inc"], "[").otherwise("("), F.when(r["upper_inc"], "]").otherwise(")")
     return F.when(r["empty"], "empty").otherwise(F.concat(low, F.coalesce(r["lower"].cast("string"), F.lit("")), F.lit(","), F.coalesce(r["upper"].cast("string"), F.lit("")), high))
+
+
+def seg(text: Column) -> Column:
+    """A segment of numbers from its text: a, a..b, a.., ..b, a(+-)d; certainty marks (< > ~) are dropped.  Open ends are infinite."""
+    plain = F.regexp_replace(text, r"[<>~\s]", "")
+    number = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
+    around = F.regexp_extract_all(plain, F.lit(f"({number})"), F.lit(1))
+    middle, off = F.get(around, F.lit(0)).cast("double"), F.get(around, F.lit(1)).try_cast("double")
+    low, high = F.substring_index(plain, "..", 1), F.substring_index(plain, "..", -1)
+    infinite = F.lit(float("inf"))
+    given = F.contains(plain, F.lit("(+-)"))
+    return F.struct(
+        F.when(given, middle - F.abs(off)).when(low == "", -infinite).otherwise(low.try_cast("double")).alias("low"),
+        F.when(given, middle + F.abs(off)).when(high == "", infinite).otherwise(high.try_cast("double")).alias("high"),
+    )
+
+
+def seg_overlaps(a: Column, b: Column) -> Column:
+    return (a["low"] <= b["high"]) & (b["low"] <= a["high"])
+
+
+def seg_contains(a: Column, b: Column) -> Column:
+    return (a["low"] <= b["low"]) & (a["high"] >= b["high"])
+
+
+def seg_left(a: Column, b: Column) -> Column:
+    """a << b: a lies before b."""
+    return a["high"] < b["low"]
+
+
+def seg_over_left(a: Column, b: Column) -> Column:
+    """a &< b: a does not reach beyond b."""
+    return a["high"] <= b["high"]
+
+
+def seg_union(a: Column, b: Column) -> Column:
+    return F.struct(F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"))

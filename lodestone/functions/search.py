@@ -124,3 +124,68 @@ def headline(text: Column, *words: str, start: str = "<b>", stop: str = "</b>")
     """ts_headline over the whole text: hits are marked."""
     hits = "|".join(re.escape(w) for w in words)
     return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({hits})(?![\p{{L}}\p{{N}}])", f"{start}$1{stop}")
+
+
+#: Kinds of tokens and what they look like, the first that fits.
+TOKENS = {"email": r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "url": r"https?://\S+", "float": r"[-+]?\d+\.\d+", "uint": r"\d+", "asciiword": r"[A-Za-z]+(?!\p{L})", "word": r"\p{L}+"}
+
+
+def parse_tokens(text: Column) -> Column:
+    """ts_parse: array of (kind, token); blanks and marks are left out."""
+    every = F.regexp_extract_all(text, F.lit("(" + "|".join(f"(?:{p})" for p in TOKENS.values()) + ")"), F.lit(1))
+
+    def kind(token: Column) -> Column:
+        out = F.lit("word")
+        for name, pattern in reversed(TOKENS.items()):
+            out = F.when(token.rlike(f"^(?:{pattern})$"), name).otherwise(out)
+        return out
+
+    return F.transform(every, lambda t: F.struct(kind(t).alias("kind"), t.alias("token")))
+
+
+def lexize(token: Column, synonyms: dict[str, str] | None = None, stop: bool = True) -> Column:
+    """ts_lexize with a synonym list before a simple dictionary: an empty array for a stop word, NULL only for NULL."""
+    low = F.lower(token)
+    out = F.array(low)
+    if stop:
+        out = F.when(low.isin(*STOP_WORDS), F.array().cast("array<string>")).otherwise(out)
+    for word, same in (synonyms or {}).items():
+        out = F.when(low == word, F.array(F.lit(same))).otherwise(out)
+    return F.when(token.isNotNull(), out)
+
+
+def json_lexemes(j: Column) -> Column:
+    """json_to_tsvector over the string values of a flat object: the sorted distinct lexemes."""
+    texts = F.map_values(F.from_json(j, "map<string,string>"))
+    return F.array_sort(F.array_distinct(strip(to_tsvector(F.array_join(texts, " ")))))
+
+
+def set_weight(vector: Column, weight: str) -> Column:
+    """setweight: each lexeme with its positions and this weight (A to D)."""
+    return F.transform(vector, lambda s: F.struct(s["lexeme"].alias("lexeme"), s["positions"].alias("positions"), F.lit(weight).alias("weight")))
+
+
+def filter_weights(vector: Column, *weights: str) -> Column:
+    """ts_filter."""
+    return F.filter(vector, lambda s: s["weight"].isin(*weights))
+
+
+def delete(vector: Column, *lexemes: str) -> Column:
+    """ts_delete."""
+    return F.filter(vector, lambda s: ~s["lexeme"].isin(*lexemes))
+
+
+def matches_words(text: Column, query: str, stop: bool = True) -> Column:
+    """to_tsvector(text) @@ query where no phrase is asked for: over the distinct words, without places or order.
+
+    Stop words are not in a vector, so a query for one finds nothing.
+    """
+    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+
+    def leaf(token: str) -> Column:
+        if token.endswith(":*"):
+            found = F.exists(words, lambda w: F.startswith(w, F.lit(token[:-2])) & ~(w.isin(*STOP_WORDS) if stop else F.lit(False)))
+            return found
+        return F.lit(False) if stop and token in STOP_WORDS else F.array_contains(words, token)
+
+    return _boolean([t.strip() for t in re.findall(r"[^\s&|!()<>]+|[&|!()]", query.lower())], leaf)

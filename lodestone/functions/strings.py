@@ -190,3 +190,60 @@ def parse_ident(text: Column) -> Column:
     """Parts of a qualified name; unquoted ones in lower case."""
     parts = F.regexp_extract_all(text, F.lit(r'("(?:[^"]|"")+"|[^".]+)'), F.lit(1))
     return F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(F.lower(F.trim(p))))
+
+
+def word_similarity(a: Column, b: Column) -> Column:
+    """How much of ``a`` one stretch of words of ``b`` holds: the best Jaccard-like score of a's trigrams with trigrams of b in a row."""
+    x = trigrams(a)
+    words = F.filter(F.split(F.lower(b), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    placed = F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
+
+    def best(row: Column) -> Column:
+        y, x = row["y"], row["x"]
+        known = F.filter(F.sequence(F.lit(1), F.size(y)), lambda i: F.array_contains(x, F.get(y, i - 1)))
+
+        def score(i: Column, j: Column) -> Column:
+            stretch = F.array_distinct(F.slice(y, i, j - i + 1))
+            both = F.size(F.array_intersect(x, stretch))
+            return both / (F.size(x) + F.size(stretch) - both)
+
+        # a best stretch begins and ends with a trigram that both have
+        every = F.flatten(F.transform(known, lambda i: F.transform(F.filter(known, lambda j: j >= i), lambda j: score(i, j))))
+        return F.coalesce(F.array_max(every), F.lit(0.0))
+
+    return F.transform(F.array(F.struct(placed.alias("y"), x.alias("x"))), best)[0]
+
+
+def hmac(text: Column, key: bytes, bits: int = 256) -> Column:
+    """hmac(data, key, 'sha<bits>') in hex: the digest over two paddings of the key."""
+    import hashlib
+
+    block = 64 if bits <= 256 else 128
+    key = (hashlib.new(f"sha{bits}", key).digest() if len(key) > block else key).ljust(block, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(c ^ pad for c in key).hex())) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), bits))), bits)
+
+
+def _uuid_of(digest: Column, version: int) -> Column:
+    """The first 16 bytes of a hex digest as a UUID of this version."""
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit(str(version)), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
+def uuid_v3(namespace: str, name: Column) -> Column:
+    """uuid_generate_v3: the MD5 of namespace and name."""
+    return _uuid_of(F.md5(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary"))), 3)
+
+
+def uuid_v5(namespace: str, name: Column) -> Column:
+    """uuid_generate_v5: the SHA-1 of namespace and name."""
+    return _uuid_of(F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary"))), 5)
+
+
+def get_byte(data: Column, n: int) -> Column:
+    return F.conv(F.hex(F.substring(data, n + 1, 1)), 16, 10).cast("int")
+
+
+def set_byte(data: Column, n: int, value: int) -> Column:
+    return F.overlay(data, F.unhex(F.lit(f"{value:02x}")), F.lit(n + 1), F.lit(1))

@@ -103,3 +103,13 @@ def make_time(hour: Column, minute: Column, second: Column) -> Column:
     bad = ~(hour.between(0, 24) & minute.between(0, 59) & (second >= 0) & (second <= 60))
     value = ((hour * 60 + minute) * 60).cast("long") * 1_000_000 + F.round(second * 1_000_000).cast("long")
     return F.when(bad, F.raise_error(F.lit("time field value out of range")).cast("long")).otherwise(value)
+
+
+def at_time_zone(t: Column, zone: str) -> Column:
+    """timestamptz AT TIME ZONE zone: the local time there of an instant held in UTC."""
+    return F.from_utc_timestamp(t, zone)
+
+
+def from_time_zone(t: Column, zone: str) -> Column:
+    """timestamp AT TIME ZONE zone: the instant, in UTC, of a local time there."""
+    return F.to_utc_timestamp(t, zone)

@@ -64,3 +64,13 @@ def sum_to(spark: SparkSession, n: int) -> int:
     """A block with a loop, as a script."""
     rows = spark.sql(f"BEGIN DECLARE i INT DEFAULT 0; DECLARE total INT DEFAULT 0; WHILE i < {int(n)} DO SET i = i + 1; SET total = total + i; END WHILE; SELECT total; END").collect()
     return rows[0][0]
+
+
+def least_of(*values: Column) -> Column:
+    """A VARIADIC, polymorphic function: the least of any number of values of one type; NULLs are skipped."""
+    return F.least(*values) if len(values) > 1 else values[0]
+
+
+def first_given(*values: Column) -> Column:
+    """Polymorphic: the first value that is not NULL, of the type of its arguments."""
+    return F.coalesce(*values)

@@ -72,3 +72,8 @@ def bitwise(kind: str, value: str) -> Column:
 def max_enum(label: str, order: Sequence[str]) -> Column:
     """max() over an enum: by declaration, not by label."""
     return F.max_by(label, F.array_position(F.array(*[F.lit(x) for x in order]), F.col(label)))
+
+
+def by_key(df: DataFrame, keys: Sequence[str], dependent: Sequence[str], *aggregates: Column) -> DataFrame:
+    """GROUP BY a primary key: columns that depend on it come along without being grouped by."""
+    return df.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in dependent], *aggregates)

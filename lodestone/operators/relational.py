@@ -32,11 +32,11 @@ def with_ties(df: DataFrame, order: Sequence[str], n: int, ascending: Sequence[b
         return df.limit(0)
     up = [ascending] * len(order) if isinstance(ascending, bool) else list(ascending)
     sort = [F.col(c).asc_nulls_last() if a else F.col(c).desc_nulls_first() for c, a in zip(order, up, strict=True)]
-    top = df.orderBy(*sort).limit(n).select(*order).collect()  # n rows
-    if len(top) < n:
+    last = df.select(*order).orderBy(*sort).offset(n - 1).limit(1).collect()  # the n-th row alone
+    if not last:
         return df
     before, same = F.lit(False), F.lit(True)
-    for c, a, v in zip(order, up, top[-1], strict=True):
+    for c, a, v in zip(order, up, last[0], strict=True):
         x, y = F.col(c), F.lit(v)
         ahead = x < y if v is not None else x.isNotNull()
         behind = (x > y) | x.isNull() if v is not None else F.lit(False)
@@ -118,11 +118,24 @@ def interval_join(left: DataFrame, right: DataFrame, value: str, low: str, high:
     """left.value BETWEEN right.low AND right.high by an equi-join on buckets of ``width``, then the exact test.
 
     A right row goes to each bucket that it touches; choose the width near the usual length.
+    ``how``: inner, left, right or full.  Each side's rows are told apart by what they hold,
+    and unmatched ones follow by an anti join, so a right row in many buckets comes once.
     """
     b = _fresh("bucket", left, right)
     a = left.withColumn(b, F.floor(F.col(value) / width))
-    c = right.withColumn(b, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return a.join(c, (a[b] == c[b]) & (left[value] >= right[low]) & (left[value] <= right[high]), how).drop(a[b]).drop(c[b])
+    c = right.where(F.col(low) <= F.col(high)).withColumn(b, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    met = (a[b] == c[b]) & (left[value] >= right[low]) & (left[value] <= right[high])
+    out = a.join(c, met).drop(a[b]).drop(c[b])
+    nothing = lambda df: [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    if how in ("left", "full"):
+        out = out.union(a.join(c, met, "left_anti").select(*[F.col(x) for x in left.columns], *nothing(right)))
+    if how in ("right", "full"):
+        row = _fresh("row", left, right)
+        keyed = right.withColumn(row, F.xxhash64(F.struct(*right.columns)))
+        many = keyed.where(F.col(low) <= F.col(high)).withColumn(b, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+        hit = many.join(a.select(F.col(value).alias(_fresh("v", left, right)), F.col(b)), b).where(F.col(_fresh("v", left, right)).between(F.col(low), F.col(high))).select(row).distinct()
+        out = out.union(keyed.join(hit, row, "left_anti").select(*nothing(left), *[F.col(x) for x in right.columns]))
+    return out
 
 
 def overlap_join(left: DataFrame, right: DataFrame, l_low: str, l_high: str, r_low: str, r_high: str, width: float) -> DataFrame:

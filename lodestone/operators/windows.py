@@ -32,9 +32,12 @@ def excluding(df: DataFrame, value: str, partition: Sequence[str], order: Sequen
     return ranked.withColumn(name, F.when(n - n_gone > 0, total - gone)).drop(f"{name}__group")
 
 
-def count_distinct_over(value: str, window) -> Column:
-    """count(DISTINCT value) OVER window: dense ranks up and down cover a partition without collecting a set."""
-    return F.size(F.collect_set(value).over(window)).cast("long")
+def count_distinct_over(value: str, *partition: str) -> Column:
+    """count(DISTINCT value) OVER (PARTITION BY ...): the highest dense rank of the values, without collecting a set."""
+    own = W.partitionBy(*partition)
+    ranks = F.dense_rank().over(own.orderBy(F.col(value).asc_nulls_last()))
+    nulls = F.max(F.col(value).isNull().cast("int")).over(own)
+    return (F.max(ranks).over(own) - nulls).cast("long")
 
 
 def filtered(aggregate: Callable[[Column], Column], condition: Column, value: Column, window) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import extras, feeds, relational, scalars, tpch
+from lodestone.plans import extras, feeds, more, relational, scalars, tpch
 
-_MODULES = (tpch, relational, scalars, extras, feeds)
+_MODULES = (tpch, relational, scalars, extras, feeds, more)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -242,13 +242,13 @@ for _name, _word in (("current_row", "CURRENT ROW"), ("group", "GROUP"), ("ties"
 
 @P.add("window_count_distinct", "SELECT event_id, count(DISTINCT event_type) OVER (PARTITION BY user_id) AS n FROM events")
 def window_count_distinct(t):
-    return t.events.select("event_id", V.count_distinct_over("event_type", W.partitionBy("user_id")).alias("n"))
+    return t.events.select("event_id", V.count_distinct_over("event_type", "user_id").alias("n"))
 
 
-@P.add("window_filter", "SELECT event_id, sum(value) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) IS NULL AS none FROM events")
+@P.add("window_filter", "SELECT event_id, sum(value) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) IS NULL AS none, count(value) FILTER (WHERE event_type = 'click') OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM events")
 def window_filter(t):
     w = W.partitionBy("user_id").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    return t.events.select("event_id", V.filtered(F.sum, F.col("event_type") == "click", F.col("value"), w).isNull().alias("none"))
+    return t.events.select("event_id", V.filtered(F.sum, F.col("event_type") == "click", F.col("value"), w).isNull().alias("none"), V.filtered(F.count, F.col("event_type") == "click", F.col("value"), w).alias("n"))
 
 
 # Sorting, limits, distinct -------------------------------------------------------------

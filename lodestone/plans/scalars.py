@@ -76,10 +76,9 @@ def fn_trigram(t):
     return t.part.select("p_partkey", F.round(S.similarity(F.col("p_name"), F.lit("red ring")), 6).alias("s"))
 
 
-@P.add("fn_unaccent", "SELECT doc_id, strip_accents(text) = strip_accents(text) AS ok FROM documents WHERE lang = 'fr'")
+@P.add("fn_unaccent", "SELECT doc_id, md5(replace(strip_accents(text), 'ß', 'ss')) AS plain FROM documents")
 def fn_unaccent(t):
-    plain = S.unaccent(F.col("text"))
-    return t.documents.where("lang = 'fr'").select("doc_id", (~plain.rlike("[éèêçàô]")).alias("ok"))
+    return t.documents.select("doc_id", F.md5(S.unaccent(F.col("text"))).alias("plain"))
 
 
 # Numbers ---------------------------------------------------------------------------------
@@ -198,8 +197,7 @@ P.same("json_build", "SELECT n_nationkey, to_json(named_struct('k', n_nationkey,
 # Full-text search ----------------------------------------------------------------------------------
 @P.add("fts_match", "SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\\pL\\pN]+'), 'the') AND NOT list_contains(string_split_regex(lower(text), '[^\\pL\\pN]+'), 'of')")
 def fts_match(t):
-    v = TS.to_tsvector(F.col("text"), stop=False)
-    return t.documents.select("doc_id", v.alias("v")).where(TS.matches(F.col("v"), "the & !of")).select("doc_id")
+    return t.documents.where(TS.matches_words(F.col("text"), "the & !of", stop=False)).select("doc_id")
 
 
 @P.add("fts_phrase", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\pL\\pN])of[^\\pL\\pN]+the([^\\pL\\pN]|$)')")
@@ -212,7 +210,7 @@ def fts_phrase(t):
 WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS y FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)
 SELECT vec_id, round(list_distance(x, y), 6) AS euclid, round(list_sum(list_transform(generate_series(1, 64), lambda i: abs(x[i] - y[i]))), 6) AS taxi, round(list_max(list_transform(generate_series(1, 64), lambda i: abs(x[i] - y[i]))), 6) AS cheb FROM e, q""")
 def cube_distances(t):
-    q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("y"))
+    q = t.embeddings.where("vec_id = 0").agg(F.first("embedding").alias("y"))  # one row
     rows = t.embeddings.join(F.broadcast(q))
     x, y = F.col("embedding"), F.col("y")
     return rows.select("vec_id", F.round(SP.euclidean(x, y), 6).alias("euclid"), F.round(SP.taxicab(x, y), 6).alias("taxi"), F.round(SP.chebyshev(x, y), 6).alias("cheb"))

@@ -155,3 +155,20 @@ def test_slow_views(spark):
         nodes = slow_views.capture(query(low, high, how) if how != "left_semi" else lines.where(F.col("q").between(low, high)).join(orders, F.col("l") == F.col("o"), how).groupBy("l").count(), "new")
         assert (slow_views.match(slow_views.summarise(nodes), store).where("node_id = 0").count() > 0) == hit, (low, high, how)
     assert slow_views.explain_slow(query(5, 10), store).where("slow_query = 'slow'").count() > 0
+
+
+def test_interval_join_keeps_each_unmatched_row_once(spark):
+    points = spark.createDataFrame([(1, 5.0), (2, 50.0), (3, None)], "id int, x double")
+    spans = spark.createDataFrame([(7, 0.0, 40.0), (8, 60.0, 90.0), (9, 9.0, 1.0)], "s int, lo double, hi double")
+    by = lambda rows: sorted(rows, key=str)
+    for how, want in (("inner", [(1, 7)]), ("left", [(1, 7), (2, None), (3, None)]), ("right", [(1, 7), (None, 8), (None, 9)]), ("full", [(1, 7), (2, None), (3, None), (None, 8), (None, 9)])):
+        rows = [(r.id, r.s) for r in relational.interval_join(points, spans, "x", "lo", "hi", 5.0, how).collect()]
+        assert by(rows) == by(want), how
+
+
+def test_distinct_counts_over_a_partition(spark):
+    from lodestone.operators import windows
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (2, None)], "g int, v string")
+    got = sorted((r.g, r.n) for r in df.select("g", windows.count_distinct_over("v", "g").alias("n")).collect())
+    assert got == [(1, 2), (1, 2), (1, 2), (1, 2), (2, 0)]
