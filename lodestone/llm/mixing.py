@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Documents get a hash-random key.  Word counts are summed per (source, slice of the key
+Documents get a hash-random key (of id and text).  Word counts are summed per (source, slice of the key
 range), running totals over the slices give every slice its place in its source, and
 only the rows of one slice are ever sorted together.  The mix takes a source as many
 whole times as its budget holds, and then its first words in key order up to the rest.
@@ -16,8 +16,8 @@ from lodestone.llm.workspace import Workspace, fresh
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_EPOCHS = 3
-#: Rows of one source and key slice, about.
-SLICE_ROWS = 256
+#: Rows of one source and key slice, about; slices of a range.
+SLICE_ROWS, RANGE_SLICES = 256, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     doc_id, text, source and ``keep`` are ignored.
     """
     ws = ws or Workspace(docs.sparkSession, "mix")
-    turn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    turn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
     rows = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"), turn.alias("turn"), *keep)
     rows = ws.save(rows, "rows")
     n = rows.count()
@@ -73,9 +73,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int
     at = F.floor(F.conv(F.substring("turn", 1, 8), 16, 10).cast("long") * slices / (1 << 32))
     rows = rows.withColumn("slice", at).withColumn("s_key", F.coalesce("source", F.lit(""))).withColumn("s_null", F.col("source").isNull())
     parts = rows.groupBy("s_key", "s_null", "slice").agg(F.sum("size").alias("part"), F.first("source").alias("source"))
-    by_source = W.partitionBy("s_key", "s_null")
-    parts = parts.withColumn("before", F.coalesce(F.sum("part").over(by_source.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    parts = ws.save(parts, "parts")
+    # totals before each slice in two steps: over ranges of slices, then over the slices of a range
+    parts = ws.save(parts.withColumn("range", F.floor(F.col("slice") / RANGE_SLICES)), "slices")
+    ranges = parts.groupBy("s_key", "s_null", "range").agg(F.sum("part").alias("range_part"))
+    earlier = W.partitionBy("s_key", "s_null").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select("s_key", "s_null", "range", F.coalesce(F.sum("range_part").over(earlier), F.lit(0)).alias("range_before"))
+    inside = W.partitionBy("s_key", "s_null", "range").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.join(ranges, ["s_key", "s_null", "range"]).withColumn("before", F.col("range_before") + F.coalesce(F.sum("part").over(inside), F.lit(0)))
+    parts = ws.save(parts.drop("range", "range_before"), "parts")
     sources = targets(parts.groupBy("s_key", "s_null").agg(F.first("source").alias("source"), F.sum("part").alias("source_size")).select("source", "source_size"), weights, most_epochs)
     sources = sources.select(F.coalesce("source", F.lit("")).alias("s_key"), F.col("source").isNull().alias("s_null"), "source_size", "target")
     parts = ws.save(parts.drop("source", "part").join(sources, ["s_key", "s_null"]), "placed")
@@ -113,7 +118,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
-    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS turn FROM documents),
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS turn FROM documents),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight, 3 * source_size AS most, sum(source_size) OVER () AS total FROM s),
 f AS (SELECT *, total - coalesce(sum(most) OVER before, 0) AS left_over, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left FROM w
