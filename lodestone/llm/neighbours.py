@@ -8,9 +8,12 @@
 4. Home by home, every node is searched for: a greedy beam walks from the medoid, then the
    range expands over the edges as long as it finds vectors within the threshold.
    Every link is verified by the cosine in double precision.
-5. Recall is audited on a fixed number of nodes against all vectors of their label, and
-   the overlap is widened where it is too low.  Once every node is in every shard of its
-   label, all vectors of the shard are compared, which is exact.
+5. Recall is audited on a bounded number of nodes, some of any kind and some with links,
+   against all vectors of their label, and the overlap is widened where it is too low.  Once
+   every node is in every shard of its label, all vectors of the shard are compared, which
+   is exact.
+
+Vectors of one label and length are a kind; only those can link.
 """
 
 from __future__ import annotations
@@ -28,10 +31,11 @@ from lodestone.llm.workspace import Workspace
 
 THRESHOLD = 0.93
 #: Nodes of a cluster, about; centroids of one label at most; clusters that a node is dealt to.
-CLUSTER, MOST_CENTROIDS, OVERLAP = 512, 4096, 3
+CLUSTER, MOST_CENTROIDS, ALL_CENTROIDS, OVERLAP = 512, 4096, 16384, 3
 #: Edges out of a node, candidates it is pruned from, slack of the pruning, width of the beam.
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 16
-AUDIT, LEAST_RECALL = 256, 0.97
+#: Nodes that are audited of each sort; true links that tell enough; the least recall of links.
+AUDIT, AUDIT_LINKS, LEAST_RECALL = 256, 64, 0.97
 _BLOCK = 1024
 
 
@@ -117,47 +121,49 @@ def search_range(x: np.ndarray, start: np.ndarray, flat: np.ndarray, query: np.n
     return np.flatnonzero(inside)
 
 
-def _centroids(ws: Workspace, nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Of each label, the nodes that come first by hash; one for ``CLUSTER`` nodes, ``MOST_CENTROIDS`` at most."""
+def _centroids(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Of each kind of ``2 * CLUSTER`` nodes at least, those that come first by hash: one for ``CLUSTER`` nodes, ``MOST_CENTROIDS`` at most.
+
+    All kinds together have ``ALL_CENTROIDS`` at most, by their sizes, so what goes to the
+    tasks has a bound.  Kinds with a share below two are one shard each and have none.
+    """
     from pyspark.sql import Window as W
 
-    sizes = {r["label"]: min(MOST_CENTROIDS, max(1, r["n"] // CLUSTER)) for r in nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return {}
-    share = F.element_at(F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, n)]), F.col("label"))
-    total = {r["label"]: r["n"] for r in nodes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of = F.element_at(F.create_map(*[F.lit(v) for k, n in total.items() for v in (k, n)]), F.col("label"))
+    every = max(1, nodes.count())
+    total = nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    total = total.withColumn("share", F.least(F.lit(MOST_CENTROIDS), F.floor(F.col("n") / CLUSTER), F.floor(F.col("n") * ALL_CENTROIDS / every))).where("share >= 2")
     # a hash below the share of twice the number wanted; of these the first by hash
-    turn = F.xxhash64("node", F.lit(7))
-    likely = F.pmod(turn, F.lit(1 << 30)) < (F.least(F.lit(1.0), (share * 2 + 32) / of) * (1 << 30))
-    picked = nodes.where(likely).withColumn("turn", F.pmod(turn, F.lit(1 << 30))).withColumn("nth", F.row_number().over(W.partitionBy("label").orderBy("turn", "node"))).where(F.col("nth") <= share)
+    turn = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30))
+    likely = turn < F.least(F.lit(1.0), (F.col("share") * 2 + 32) / F.col("n")) * (1 << 30)
+    picked = nodes.withColumn("turn", turn).join(total, "kind").where(likely)
+    picked = picked.withColumn("nth", F.row_number().over(W.partitionBy("kind").orderBy("turn", "node"))).where(F.col("nth") <= F.col("share"))
     out: dict[int, list] = {}
-    for r in picked.orderBy("label", "nth").collect():
-        out.setdefault(r["label"], []).append(r["v"])
+    for r in picked.select("kind", "nth", "v").orderBy("kind", "nth").toLocalIterator():
+        out.setdefault(r["kind"], []).append(r["v"])
     return {k: unit(np.array(v, np.float64)) for k, v in out.items()}
 
 
 def _dealt(nodes: DataFrame, centroids: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """A row for every shard of every node: shard (label's centroid), home."""
+    """A row for every shard of every node: cluster (of its kind), home."""
+    names = ["node", "kind", "copies", "v", "cluster", "home"]
 
     def deal(batches):
         for batch in batches:
-            label, x = batch.column("label").to_numpy(), unit(matrix(batch.column("v")))
-            at, cluster, home = [], [], []
-            for k in np.unique(label):
-                rows, c = np.flatnonzero(label == k), centroids[k]
-                m = min(overlap, len(c))
-                s = x[rows] @ c.T
-                near = np.argsort(-s, axis=1, kind="stable")[:, :m]
+            kind = batch.column("kind").to_numpy()
+            at, cluster, home = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for k in np.unique(kind):
+                rows, c = np.flatnonzero(kind == k), centroids.get(int(k))
+                m = 1 if c is None else min(overlap, len(c))
+                near = np.zeros((len(rows), 1), np.int64)
+                if c is not None:
+                    near = np.argsort(-(unit(matrix(batch.column("v").take(pa.array(rows)))) @ c.T), axis=1, kind="stable")[:, :m]
                 at.append(np.repeat(rows, m))
                 cluster.append(near.ravel())
                 home.append(np.tile(np.arange(m) == 0, len(rows)))
-            if at:
-                at = np.concatenate(at)
-                part = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(cluster).astype(np.int32)), pa.array(np.concatenate(home))], ["node", "label", "copies", "v", "cluster", "home"])
+            part = batch.take(pa.array(np.concatenate(at)))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(cluster).astype(np.int32)), pa.array(np.concatenate(home))], names)
 
-    return nodes.mapInArrow(deal, "node long, label int, copies long, v array<float>, cluster int, home boolean")
+    return nodes.mapInArrow(deal, "node long, kind long, copies long, v array<double>, cluster int, home boolean")
 
 
 def _adjacency(ws: Workspace, dealt: DataFrame) -> DataFrame:
@@ -169,7 +175,7 @@ def _adjacency(ws: Workspace, dealt: DataFrame) -> DataFrame:
         edges = build_graph(unit(matrix(table.column("v"))))
         return pa.table([pa.array(node), pa.array([node[e[e >= 0]] for e in edges], pa.list_(pa.int64()))], ["node", "near"])
 
-    lists = dealt.groupBy("label", "cluster").applyInArrow(build, "node long, near array<long>")
+    lists = dealt.groupBy("kind", "cluster").applyInArrow(build, "node long, near array<long>")
     return ws.save(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "adjacency")
 
 
@@ -179,7 +185,7 @@ def _links(dealt: DataFrame, adjacency: DataFrame, threshold: float, exact: bool
     Nodes that are guests of a shard come without n_links, if they are linked there.  With
     ``exact``, a node is compared with all of its home shard.
     """
-    rows = dealt.select("node", "label", "copies", "v", "cluster", "home").join(adjacency, "node", "left")
+    rows = dealt.select("node", "kind", "copies", "v", "cluster", "home").join(adjacency, "node", "left")
     schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("linked", pa.int64())])
 
     def search(table: pa.Table) -> pa.Table:
@@ -225,29 +231,42 @@ def _links(dealt: DataFrame, adjacency: DataFrame, threshold: float, exact: bool
         who = np.r_[mine, guests]
         return pa.table([pa.array(node[who]), pa.array(np.r_[n_links, np.zeros(len(guests), np.int64)], mask=np.arange(len(who)) >= len(mine)), pa.array(node[root[who]])], schema=schema)
 
-    return rows.groupBy("label", "cluster").applyInArrow(search, "node long, n_links long, linked long")
-
+    return rows.groupBy("kind", "cluster").applyInArrow(search, "node long, n_links long, linked long")
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = AUDIT) -> float:
-    """Recall of links on the ``most`` nodes that come first by hash, against all nodes of their label."""
-    picked = nodes.withColumn("turn", F.xxhash64("node", F.lit(11))).orderBy("turn").limit(most).select("node", "label", "v").collect()
-    if not picked:
-        return 1.0
-    ids, labels, q = np.array([r["node"] for r in picked]), np.array([r["label"] for r in picked]), unit(np.array([r["v"] for r in picked], np.float64))
 
-    def count(batches):
-        true = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            label, copies, node = (batch.column(c).to_numpy() for c in ("label", "copies", "node"))
-            x = unit(matrix(batch.column("v")))
-            for a in range(0, len(x), _BLOCK):
-                of = slice(a, a + _BLOCK)
-                true += ((x[of] @ q.T >= threshold) & (label[of, None] == labels) & (node[of, None] != ids)).T @ copies[of]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true)], ["node", "true"])
+def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = AUDIT) -> tuple[float, int]:
+    """Recall of links, and how many true ones that was measured on: on some nodes of any kind and on some that have links.
 
-    true = nodes.mapInArrow(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    seen = true.join(found, "node").agg(F.sum(F.least("true", "n_links")).alias("hit"), F.sum("true").alias("all")).first()
-    return seen["hit"] / seen["all"] if seen["all"] else 1.0
+    Those that come first by hash, ``most`` of each sort, or eight times as many where they have too few links to tell.
+    """
+    turn = F.xxhash64("node", F.lit(11))
+    linked = nodes.join(found.where("n_links > 0").select("node"), "node", "left_semi")
+    for wanted in (most, 8 * most):
+        both = nodes.orderBy(turn).limit(wanted).unionByName(linked.orderBy(turn).limit(wanted)).dropDuplicates(["node"])
+        picked = both.join(found, "node", "left").select("node", "kind", "v", F.coalesce("n_links", F.lit(0)).alias("n_links")).collect()
+        by_kind: dict[int, list] = {}
+        for r in picked:
+            by_kind.setdefault(r["kind"], []).append(r)
+        asked = {k: (np.array([r["node"] for r in rows]), unit(np.array([r["v"] for r in rows], np.float64))) for k, rows in by_kind.items()}
+
+        def count(batches, asked=asked):
+            for batch in batches:
+                kind, copies, node = (batch.column(c).to_numpy() for c in ("kind", "copies", "node"))
+                for k in np.unique(kind):
+                    if int(k) not in asked:
+                        continue
+                    ids, q = asked[int(k)]
+                    rows = np.flatnonzero(kind == k)
+                    near = (unit(matrix(batch.column("v").take(pa.array(rows)))) @ q.T >= threshold) & (node[rows, None] != ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.T @ copies[rows])], ["node", "true"])
+
+        true = nodes.mapInArrow(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+        true = {r["node"]: r["true"] for r in true.collect()}  # a row for each node asked
+        hit = sum(min(true.get(r["node"], 0), r["n_links"]) for r in picked)
+        every = sum(true.values())
+        if every >= AUDIT_LINKS:
+            break
+    return (hit / every if every else 1.0), every
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
@@ -259,35 +278,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, overlap: i
     Defined results: vectors that are null, empty, zero or hold null or non-finite
     components, and those with a null label or a null id, link with nothing and are
     their own component; equal vectors link; repeated rows are vectors of their own
-    that share an id; vectors of other lengths than most link with nothing; an empty
+    that share an id; vectors of different lengths do not link; an empty
     table gives no rows; other columns are ignored.
     """
-    from lodestone.llm.vectors import usual_length
-
     ws = Workspace(vectors.sparkSession, "neighbours")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"), F.col("label").cast("int").alias("label"))
-    good = rows.where(is_vector(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    length = usual_length(good, "v")
-    good = good.where(F.size("v") == length)
-    keyed = ws.save(good.withColumn("key", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.to_json("v")), 256)), "keyed")
-    nodes = keyed.groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
-    nodes = ws.save(nodes, "nodes")
-    basic = nodes.select("node", "label", "copies", "v")
-    centroids = _centroids(ws, basic)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("int").alias("label"))
+    takes_part = is_vector(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    good = rows.where(takes_part).withColumn("kind", F.shiftleft(F.col("label").cast("long"), 24) + F.size("v"))
+    keyed = ws.save(good.withColumn("key", F.sha2(F.concat_ws(",", F.col("kind").cast("string"), F.to_json("v")), 256)).select("vec_id", "v", "kind", "key"), "keyed")
+    nodes = keyed.groupBy("key").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("kind").alias("kind"), F.first("v").alias("v"))
+    # an id may stand for several vectors, so nodes are named by a hash of theirs
+    nodes = ws.save(nodes.select("key", F.xxhash64("key").alias("node"), F.col("node").alias("least"), "copies", "kind", "v"), "nodes")
+    basic = nodes.select("node", "kind", "copies", "v")
+    centroids = _centroids(basic)
     most = max(map(len, centroids.values()), default=1)
     for k in itertools.count():
         exact = k > 0 and overlap >= most
         dealt = ws.save(_dealt(basic, centroids, overlap), f"dealt{k}")
         searched = ws.save(_links(dealt, _adjacency(ws, dealt), threshold, exact), f"searched{k}")
         found = searched.where("n_links is not null").select("node", "n_links")
-        if exact or audit(basic, found, threshold) >= LEAST_RECALL:
+        if exact or audit(basic, found, threshold)[0] >= LEAST_RECALL:
             break
         overlap *= 2
     joined = connected_components(ws, searched.select(F.col("node").alias("a"), F.col("linked").alias("b")), "groups")
-    info = nodes.select("key", "node", "copies").join(found, "node").join(joined, "node", "left")
-    info = ws.save(info.select("key", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "info")
+    component = F.coalesce("component", "node")
+    by_node = nodes.select("key", "node", "copies", "least").join(found, "node").join(joined, "node", "left").withColumn("component", component)
+    by_node = ws.save(by_node, "by_node")
+    least = by_node.groupBy("component").agg(F.min("least").alias("component_id"))
+    info = ws.save(by_node.join(least, "component").select("key", (F.col("n_links") + F.col("copies") - 1).alias("n_links"), "component_id"), "info")
     linked = keyed.select("vec_id", "key").join(info, "key").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~(is_vector(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()) | (F.size("v") != length))
+    alone = rows.where(~takes_part)
     out = linked.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
