@@ -62,8 +62,10 @@ class Sets:
         some = np.flatnonzero(self.n)
         if len(some):
             self.print[some] = words.mix(np.add.reduceat(words.mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D)), self.first[some]) + self.n[some].astype(np.uint64))
-        #: documents whose set no earlier document of the chunk has
+        #: documents whose set no earlier document of the chunk has; those without an id come last
         self.own = np.zeros(len(n), bool)
+        nameless = ~table.column("doc_id").is_valid().to_numpy()
+        some = some[np.argsort(nameless[some], kind="stable")]
         self.own[some[np.unique(self.print[some], return_index=True)[1]]] = True
 
 
@@ -313,7 +315,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     chunk = min(MOST_CHUNK_BYTES, max(CHUNK_BYTES, int((total * 100) ** 0.5)))
     fragments = max(1, -(-(total // 6) // COUNT_SHINGLES))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(max(1, -(-total // chunk)))).cast("int"))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-total // chunk)))).cast("int"))
     codes = frequencies(docs, fragments, k, ws)
     sets = shared_sets(docs, codes, fragments, k, ws)
     components = linked_sets(ws, sets)
