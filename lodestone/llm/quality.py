@@ -1,10 +1,11 @@
 """Compression classifier: how much better does good text explain a document than bad text?
 
-Two zstandard dictionaries are built from good and two from bad labelled documents, one
-of each pair from the texts and one from their shapes (letters, capitals, digits and
-runs folded together).  A document's compressed sizes under them, normalised by each
-other and by its length, are weighed by a logistic curve fitted on labelled documents
-that no dictionary has seen.  The whole text is always compressed.
+Two zstandard dictionaries are trained on good and two on bad labelled documents, one
+of each pair on the texts and one on their shapes (letters, capitals, digits and
+runs folded together).  A document's compressed sizes under them, as normalised
+differences of bad and good and as shares of what is compressed, are all that a logistic curve
+weighs, which is fitted on labelled documents that no dictionary has seen.  The whole
+text is always compressed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from lodestone.llm.workspace import fresh
 
 #: At most so many labelled documents of each class are fitted on, none longer than so many bytes.
 TRAIN_PER_CLASS, TRAIN_BYTES = 3000, 32_768
-TEXT_DICTIONARY, SHAPE_DICTIONARY, LEVEL = 1 << 20, 112 << 10, 3
+DICTIONARY_BYTES, LEVEL = 112 << 10, 3
 
 _FOLD = bytes(97 if 97 <= c <= 122 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else 122 if c >= 128 else c for c in range(256))
 _RUN = re.compile(rb"([aAz0])\1+")
@@ -62,14 +63,13 @@ class Model:
 
 
 def features(texts: list[bytes], compressors: list) -> np.ndarray:
-    """Per text: the two size differences, the two ratios, length, and how far the shape folds."""
-    out = np.zeros((len(texts), 6))
+    """Per text, of compressed sizes only: the normalised differences of bad and good, for the text and its shape, and both shares."""
+    out = np.zeros((len(texts), 4))
     good, bad, good_shape, bad_shape = compressors
     for k, text in enumerate(texts):
         folded = shape(text)
         g, b, gs, bs = len(good.compress(text)), len(bad.compress(text)), len(good_shape.compress(folded)), len(bad_shape.compress(folded))
-        n, m = len(text) + 1, len(folded) + 1
-        out[k] = (b - g) / (b + g), (bs - gs) / (bs + gs), g / n, gs / m, np.log(n), m / n
+        out[k] = (b - g) / (b + g), (bs - gs) / (bs + gs), g / (len(text) + 1), gs / (len(folded) + 1)
     return out
 
 
@@ -106,19 +106,15 @@ def fit(good: list[bytes], bad: list[bytes]) -> Model:
     if len(good) < 4 or len(bad) < 4:
         return Model(prior=(len(good) + 1) / (len(good) + len(bad) + 2))
 
-    def joined(texts: list[bytes], size: int) -> bytes:
-        out = b"\n".join(texts)
-        # a raw dictionary must not begin with the magic number of a trained one
-        return b"\n" + out[-size:]
+    def trained(texts: list[bytes]) -> bytes:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
+        except zstandard.ZstdError:  # too few or too small samples to train on: the samples themselves
+            # a raw dictionary must not begin with the magic number of a trained one
+            return b"\n" + b"\n".join(texts)[-DICTIONARY_BYTES:]
 
     halves = [(t[: len(t) // 2], t[len(t) // 2 :]) for t in (good, bad)]
-    sources = [joined(halves[0][0], TEXT_DICTIONARY), joined(halves[1][0], TEXT_DICTIONARY)]
-    for first, _ in halves:
-        folded = [shape(t) for t in first]
-        try:
-            sources.append(zstandard.train_dictionary(SHAPE_DICTIONARY, folded).as_bytes())
-        except zstandard.ZstdError:  # too few or too small samples to train on
-            sources.append(joined(folded, SHAPE_DICTIONARY))
+    sources = [trained(first) for first, _ in halves] + [trained([shape(t) for t in first]) for first, _ in halves]
     model = Model(prior=0.5, dictionaries=tuple(sources))
     x = features([*halves[0][1], *halves[1][1]], model.compressors())
     y = np.r_[np.ones(len(halves[0][1])), np.zeros(len(halves[1][1]))]
@@ -135,21 +131,23 @@ def held_out(doc_id) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, most_bytes: int = TRAIN_BYTES) -> Model:
     """Fits on a bounded sample: the ``per_class`` labelled ids of each class that come first by hash.
 
-    Held-out rows are left out.  An id with conflicting or null labels counts as unlabelled.
+    Held-out rows are left out.  An id with conflicting labels, or a null one, counts as unlabelled.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-        .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other")
+        .where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+        .groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(-1))).alias("quality"), F.max("quality").alias("other")).where("quality = other")
         .withColumn("turn", F.xxhash64("doc_id"))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).where(F.length("text") <= most_bytes)
-    found: dict[int, list[bytes]] = {}
-    for label in (1, 0):
-        ids = known.where(F.col("quality") == label).orderBy("turn", "doc_id").limit(per_class)
-        # at most per_class rows on one side, so the broadcast has a fixed bound
-        rows = texts.join(F.broadcast(ids.select("doc_id", "turn")), "doc_id").orderBy("turn", "doc_id", F.md5("text")).limit(per_class).select("text").collect()
-        found[label] = [bytes(r["text"]) for r in rows]
+    ids = [known.where(F.col("quality") == label).orderBy("turn", "doc_id").limit(per_class).select("doc_id", "turn", "quality") for label in (1, 0)]
+    # at most per_class rows of each class on one side, so the broadcast has a fixed bound
+    # an id of several rows is learnt once, from the text that comes first by hash
+    one = F.min(F.struct(F.md5("text").alias("hash"), "text")).alias("x")
+    rows = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("quality", "turn", "doc_id").agg(one)
+    found: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in rows.orderBy("quality", "turn", "doc_id").select("quality", "x.text").collect():
+        found[r["quality"]].append(bytes(r["text"]))
     return fit(found[1], found[0])
 
 
