@@ -3,7 +3,9 @@
 A neighbour graph over a bounded sample is cut into balanced parts with few edges
 between them.  A small classifier learns to tell a vector's part.  It files every vector,
 and it routes each query to its most probable parts, whose vectors are all compared in
-double precision.  How many parts that takes is measured on the sample's own neighbours.
+double precision.  How many parts that takes is measured on the sample's own neighbours,
+and audited on the table: if a bounded number of queries, compared with all vectors, find
+too few of their nearest, every query visits twice as many parts, at last all, which is exact.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from lodestone.llm.workspace import Workspace
 
 #: The graph and the classifier are fitted on at most so many vectors, those that come first by hash.
 SAMPLE = 8192
-#: Vectors of a part, about, and parts at most; rows of a part that one task compares at once.
-PART, MOST_PARTS, BLOCK_ROWS = 2048, 256, 4096
+#: Vectors of a part, about, and parts at least and at most (the sample can tell no more apart); tables of fewer vectors than this have one part.
+PART, LEAST_PARTS, MOST_PARTS, TRIVIAL = 2048, 8, 256, 512
+#: Rows of a part that one task compares at once.
+BLOCK_ROWS = 4096
 GRAPH_DEGREE, SLACK, ROUNDS = 10, 1.05, 12
-#: The share of the sample's true neighbours that the routed parts must hold.
-COVER = 0.97
+#: The share of the sample's true neighbours that the routed parts must hold; queries audited on the table, and the recall that they must have.
+COVER, AUDIT, LEAST_RECALL = 0.97, 64, 0.95
 
 
 @dataclass
@@ -126,73 +130,137 @@ def fit(x: np.ndarray, parts: int, k: int) -> Router:
     return router
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
-    """The ``k`` rows of largest inner product with each row whose vec_id ``every`` divides.
+def _by_length(batch: pa.RecordBatch, usual: int):
+    """Rows of the usual length and their vectors; lengths and rows of each other length."""
+    size = np.diff(batch.column("v").offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+    rows = np.flatnonzero(size == usual)
+    others = [(int(d), np.flatnonzero(size == d)) for d in np.unique(size) if d != usual]
+    return rows, matrix(batch.column("v").take(pa.array(rows))) if len(rows) else None, others
 
-    Takes vec_id and embedding; returns query_id, rank (from 1), vec_id, score, nearest
-    first, ties to the smaller vec_id.
 
-    Defined results: vectors that are null, empty, zero, hold null or non-finite
-    components, have a null id, or another length than most, take no part; rows with
-    a query's id are not its candidates; a repeated query row answers once, a repeated
-    candidate row is a candidate each time; with fewer candidates all are returned;
-    an empty table gives no rows; other columns are ignored.
-    """
-    ws = Workspace(vectors.sparkSession, "search")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & is_vector(F.col("v")))
-    length = usual_length(rows, "v")
-    rows = ws.save(rows.where(F.size("v") == length), "rows")
-    n = rows.count()
-    parts = max(1, min(MOST_PARTS, n // PART))
-    turn = F.xxhash64("vec_id", F.lit(3))
-    sample = rows.orderBy(turn, "vec_id").limit(SAMPLE).select("v").collect()
-    router = fit(np.array([r["v"] for r in sample], np.float64).reshape(len(sample), max(1, length)), parts, k)
-    parts = router.weights.shape[1]
+def best_of(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[list[dict]]:
+    """The k best of ``x`` for each query, by scores whose terms are added in one order wherever a pair is compared."""
+    lists = []
+    for a in range(0, len(q), 256):
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = q[a : a + 256] @ x.T
+        s = np.where(np.isnan(s), np.inf, s)
+        mine = own[a : a + 256, None] == ids
+        s[mine] = -np.inf
+        m = min(k, s.shape[1])
+        least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+        for row, low, no, v in zip(s, least, mine, q[a : a + 256], strict=True):
+            # the product's last bits depend on the block: take what is close to the last one too
+            near = np.flatnonzero((row >= low - 1e-9 * abs(low) - 1e-12 if np.isfinite(low) else row >= low) & ~no)
+            with np.errstate(over="ignore", invalid="ignore"):
+                exact = (x[near] * v).sum(axis=1)
+            order = np.lexsort((ids[near], -exact))[:k]
+            lists.append([{"score": float(exact[i]), "vec_id": int(ids[near[i]])} for i in order])
+    return lists
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("found", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
+FOUND_DDL = "query_id long, found array<struct<score:double,vec_id:long>>"
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """query_id and its k best (far: the negative score, vec_id), the nearest first."""
+    best = found.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
+    ordered = F.array_sort(F.transform("found", lambda x: F.struct((-x["score"]).alias("far"), x["vec_id"].alias("vec_id"))))
+    return best.select("query_id", F.slice(ordered, 1, k).alias("best"))
+
+
+def routed_search(ws: Workspace, rows: DataFrame, queries: DataFrame, router: Router, usual: int, k: int, name: str) -> DataFrame:
+    """query_id and its k best among the vectors of the parts that it visits; vectors of other lengths than usual have a part for each length."""
+    n, parts, visits = rows.count(), router.weights.shape[1], router.visits
     blocks = max(1, -(-n // (parts * BLOCK_ROWS)) * 2)
 
+    def placed(batch: pa.RecordBatch, visits: int) -> pa.RecordBatch:
+        mine, x, others = _by_length(batch, usual)
+        at, part = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if x is not None:
+            order = router.order(x)[:, :visits]
+            at.append(np.repeat(mine, order.shape[1]))
+            part.append(order.ravel())
+        for d, others_ in others:
+            at.append(others_)
+            part.append(np.full(len(others_), -d))
+        return pa.RecordBatch.from_arrays([*batch.take(pa.array(np.concatenate(at))).columns, pa.array(np.concatenate(part).astype(np.int32))], ["vec_id", "v", "part"])
+
     def file(batches):
-        for batch in batches:
-            part = router.order(matrix(batch.column("v")))[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["vec_id", "v", "part"])
+        yield from (placed(b, 1) for b in batches)
 
     def route(batches):
-        for batch in batches:
-            order = router.order(matrix(batch.column("v")))[:, : router.visits]
-            at = np.repeat(np.arange(batch.num_rows), order.shape[1])
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(order.ravel().astype(np.int32))], ["vec_id", "v", "part"])
+        yield from (placed(b, visits) for b in batches)
+
+    def compare(asked: pa.Table, there: pa.Table) -> pa.Table:
+        if not asked.num_rows or not there.num_rows:
+            return FOUND.empty_table()
+        found = best_of(matrix(asked.column("v")), asked.column("vec_id").to_numpy(), matrix(there.column("v")), there.column("vec_id").to_numpy(), k)
+        return pa.table([asked.column("vec_id"), pa.array(found, FOUND.field("found").type)], schema=FOUND)
 
-    schema = "vec_id long, v array<float>, part int"
+    schema = "vec_id long, v array<double>, part int"
     # a part that holds many rows is compared in blocks
     filed = rows.mapInArrow(file, schema).withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     routed = queries.mapInArrow(route, schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-
-    def compare(asked: pa.Table, there: pa.Table) -> pa.Table:
-        out = pa.schema([("query_id", pa.int64()), ("found", found)])
-        if not asked.num_rows or not there.num_rows:
-            return out.empty_table()
-        q, x, ids, own = matrix(asked.column("v")), matrix(there.column("v")), there.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
-        lists = []
-        for a in range(0, len(q), 256):
-            s = q[a : a + 256] @ x.T
-            s[own[a : a + 256, None] == ids] = -np.inf
-            m = min(k, s.shape[1])
-            least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
-            for row, low in zip(s, least, strict=True):
-                near = np.flatnonzero((row >= low) & (row > -np.inf))
-                near = near[np.lexsort((ids[near], -row[near]))][:k]
-                lists.append([{"score": float(row[i]), "vec_id": int(ids[i])} for i in near])
-        return pa.table([asked.column("vec_id"), pa.array(lists, found)], schema=out)
-
-    schema = "query_id long, found array<struct<score:double,vec_id:long>>"
-    per_part = ws.save(routed.groupBy("part", "block").cogroup(filed.groupBy("part", "block")).applyInArrow(compare, schema), "found")
+    per_part = ws.save(routed.groupBy("part", "block").cogroup(filed.groupBy("part", "block")).applyInArrow(compare, FOUND_DDL), f"found{name}")
     # at most visits x blocks short lists a query
-    best = per_part.groupBy("query_id").agg(F.flatten(F.collect_list("found")).alias("found"))
-    ordered = F.slice(F.array_sort(F.transform("found", lambda x: F.struct((-x["score"]).alias("far"), x["vec_id"].alias("vec_id"), x["score"].alias("score")))), 1, k)
-    flat = best.select("query_id", F.posexplode(ordered).alias("rank", "x"))
-    return flat.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return ws.save(_merged(per_part, k), f"best{name}")
+
+
+def audit(rows: DataFrame, queries: DataFrame, best: DataFrame, k: int, most: int = AUDIT) -> float:
+    """The share of the true nearest that ``best`` has, on the ``most`` queries that come first by hash, compared with all vectors."""
+    picked = queries.orderBy(F.xxhash64("vec_id", F.lit(13)), "vec_id").limit(most).collect()
+    asked: dict[int, list] = {}
+    for r in picked:
+        asked.setdefault(len(r["v"]), []).append(r)
+    asked = {d: (np.array([r["vec_id"] for r in rs]), np.array([r["v"] for r in rs], np.float64)) for d, rs in asked.items()}
+
+    def compare(batches):
+        for batch in batches:
+            size = np.diff(batch.column("v").offsets.to_numpy()) if batch.num_rows else np.zeros(0, np.int64)
+            for d, (own, q) in asked.items():
+                at = np.flatnonzero(size == d)
+                if len(at):
+                    found = best_of(q, own, matrix(batch.column("v").take(pa.array(at))), batch.column("vec_id").to_numpy()[at], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(found, FOUND.field("found").type)], schema=FOUND)
+
+    true = _merged(rows.mapInArrow(compare, FOUND_DDL), k).select("query_id", F.transform("best", lambda x: x["far"]).alias("true"))
+    # by scores: of equal ones any will do
+    both = true.join(best, "query_id", "left").select("true", F.coalesce(F.transform("best", lambda x: x["far"]), F.array().cast("array<double>")).alias("found"))
+    seen = both.agg(F.sum(F.size("true")).alias("all"), F.sum(F.size(F.filter("true", lambda t: F.col("found")[F.size("found") - 1] >= t))).alias("hit")).first()
+    return seen["hit"] / seen["all"] if seen["all"] else 1.0
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+    """The ``k`` rows of largest inner product with each row whose vec_id ``every`` divides.
+
+    Takes vec_id and embedding; returns query_id, rank (from 1), vec_id, score, nearest
+    first, ties to the smaller vec_id.
+
+    Defined results: vectors that are null, empty, zero, hold null or non-finite
+    components, or have a null id, take no part; a query's candidates are the vectors of its
+    length; rows with a query's id are not its candidates; a repeated query row answers once,
+    a repeated candidate row is a candidate each time; with fewer candidates all are returned;
+    an empty table gives no rows; other columns are ignored.
+    """
+    ws = Workspace(vectors.sparkSession, "search")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = ws.save(rows.where(F.col("vec_id").isNotNull() & is_vector(F.col("v"))), "rows")
+    usual, n = usual_length(rows, "v"), rows.count()
+    parts = min(MOST_PARTS, max(LEAST_PARTS, n // PART)) if n >= TRIVIAL else 1
+    turn = F.xxhash64("vec_id", F.lit(3))
+    sample = rows.where(F.size("v") == usual).orderBy(turn, "vec_id").limit(SAMPLE).select("v").collect()
+    router = fit(np.array([r["v"] for r in sample], np.float64).reshape(len(sample), max(1, usual)), parts, k)
+    parts = router.weights.shape[1]
+    queries = ws.save(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
+    while True:
+        best = routed_search(ws, rows, queries, router, usual, k, str(router.visits))
+        if router.visits >= parts or audit(rows, queries, best, k) >= LEAST_RECALL:
+            break
+        router.visits = min(parts, 2 * router.visits)
+    flat = best.select("query_id", F.posexplode("best").alias("rank", "x"))
+    return flat.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
 def op8_search(spark, sf_dir: str) -> DataFrame:
