@@ -122,6 +122,16 @@ def test_jaccard_components(spark, awkward, docs):
         assert got == plain_jaccard([(r.doc_id, r.text) for r in frame.collect()])
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_jaccard_rows_without_an_id_hide_nothing(spark, order):
+    """A copy without an id, before or after the copy with one, takes no link from it."""
+    words = [f"w{i}" for i in range(60)]
+    table = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join([*words[:59], "other"])), (None, "alone in the world with nobody")]
+    frame = spark.createDataFrame(table[::order], "doc_id long, text string").coalesce(1)
+    got = Counter((r.doc_id, r.component_id) for r in ngrams.jaccard_components(frame).collect())
+    assert got == Counter([(None, None), (1, 1), (2, 1), (None, None)])
+
+
 def test_jaccard_many_near_copies(spark):
     """More copies than one round of stars joins, and outsiders that share the words but no link."""
     rng = np.random.default_rng(3)
@@ -247,7 +257,7 @@ def test_quality_learns_and_ignores_held_out_labels(spark):
     table = list(enumerate(good + bad))
     frame = spark.createDataFrame(rows(*table, (900, None), (901, ""), (None, "the river")), SCHEMA)
     labels = spark.createDataFrame([(i, int(i < 150), 0) for i, _ in table] + [(5, 1, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
-    flipped = spark.createDataFrame([(i, int(i < 150) if zlib.crc32(str(i).encode()) % 3 != 1 else int(i >= 150), 0) for i, _ in table], "doc_id long, quality int, toxic int")
+    flipped = spark.createDataFrame([(i, int(i < 150) if zlib.crc32(str(i).encode()) % 3 != 1 else int(i >= 150), 0) for i, _ in table] + [(7, None, 0)], "doc_id long, quality int, toxic int")
     out = {r.doc_id: r for r in quality.classify(frame, labels).collect()}
     assert all(r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in out.items())
     held = [i for i, _ in table if out[i].held_out]
@@ -270,6 +280,43 @@ def test_quality_on_the_tables(spark):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.95
 
 
+def test_quality_learns_each_id_once_and_no_disputed_one(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(2, "other text")] * 5 + [(3, "x" * 40_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(4, 1), (6, None)], "doc_id long, quality int")
+    seen = {}
+    quality_fit = quality.fit
+    try:
+        quality.fit = lambda good, bad: seen.update(good=good, bad=bad) or quality_fit(good, bad)
+        quality.train(docs, labels)
+        free = {i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1}
+        assert sorted(seen["good"]) == sorted(f"text {i}".encode() for i in free if i % 2)
+        bad = [f"text {i}".encode() for i in free if i % 2 == 0 and i not in (2, 4, 6)]
+        assert len([t for t in seen["bad"] if t in (b"text 2", b"other text")]) == (2 in free) and sorted(t for t in seen["bad"] if t not in (b"text 2", b"other text")) == sorted(bad)
+        first = list(seen["good"])
+        quality.train(docs, labels, per_class=3)
+        assert seen["good"] == first[:3] and len(seen["bad"]) == 3
+    finally:
+        quality.fit = quality_fit
+
+
+def test_packing_ids_are_those_of_the_tokenizer_with_its_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "no such token", "long " * 5000 + "<|endoftext|> end", None]
+    frame = spark.createDataFrame(list(enumerate(texts)) + [(9, "same row")] * 300, "doc_id long, text string")
+    pieces = {}
+    for r in packing.pack_documents(frame, path, with_ids=True, group_pieces=64).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(texts):
+        want = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        here = sorted(pieces[i], key=lambda r: r.start)
+        assert [x for r in here for x in r.ids] == want and {r.doc_tokens for r in here} == {len(want)}
+    # equal rows are dealt to many groups
+    assert len(pieces[9]) == 300 and len({r.sequence_id >> 24 for r in pieces[9]}) > 2
+
+
 def test_lines_exact_and_fuzzy(spark):
     line = "the quick brown fox jumps over the lazy dog while seven wizards watch from the northern tower of the castle"
     changed = line.replace("seven", "sever")

@@ -51,7 +51,7 @@ def test_near_duplicates(vectors):
 
 def test_links_are_whole_where_the_audit_never_holds(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CLUSTER", 6)
-    monkeypatch.setattr(neighbours, "audit", lambda *_: 0.0)
+    monkeypatch.setattr(neighbours, "audit", lambda *_: (0.0, 0))
     x = np.random.default_rng(3).normal(size=(60, 3)).astype(np.float32)
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
@@ -59,6 +59,45 @@ def test_links_are_whole_where_the_audit_never_holds(spark, monkeypatch):
     assert got == dict(enumerate(((u @ u.T >= 0.7).sum(1) - 1).tolist()))
 
 
+def test_audit_needs_evidence(spark):
+    """Found links that are missing count as missed; a corpus without links has none to miss."""
+    x = np.eye(6).tolist() + [[1.0, 0.05, 0.0, 0.0, 0.0, 0.0]]
+    nodes = spark.createDataFrame([(i, 1, 1, v) for i, v in enumerate(x)], "node long, kind long, copies long, v array<double>")
+    none = spark.createDataFrame([], "node long, n_links long")
+    assert neighbours.audit(nodes, none, 0.93) == (0.0, 2)
+    found = spark.createDataFrame([(0, 1), (6, 1)], "node long, n_links long")
+    assert neighbours.audit(nodes, found, 0.93) == (1.0, 2)
+    assert neighbours.audit(nodes.where("node < 6"), none, 0.93) == (1.0, 0)
+
+
+def test_vectors_of_every_length_link_among_themselves(spark):
+    table = [(1, [1.0, 0.0, 0.0], 5), (2, [0.99, 0.01, 0.0], 5), (3, [1.0, 0.0], 5), (4, [1e300, 1.0], 5), (5, [1.0, 0.0, 0.0], 6), (5, [0.0, 1.0], 6), (6, [0.01, 5.0], 6)]
+    out = neighbours.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, out)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (5, 1, 5, True), (6, 1, 5, False)]
+    few = [(0, [1.0, 2.0]), (1, [2.0, 1.0]), (3, [0.5, 0.5]), (20, [1.0, 0.0, 1e10]), (21, [0.0, 3.0, 1e10])]
+    got = search.nearest(spark.createDataFrame(few, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 4.0), (0, 2, 3, 1.5), (20, 1, 21, 1e20)]
+
+
+def test_nearest_over_many_parts_against_all(spark):
+    """Over the parts' routing on Spark: recall, exact scores, and fewer vectors compared than there are."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 16)) * 0.2).astype(np.float32).astype(np.float64)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    router, got = search.fit(x[: search.SAMPLE], search.LEAST_PARTS, 20), {}
+    for r in search.nearest(table).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hit = 0
+    for q in range(0, 6000, 20):
+        s = (x * x[q]).sum(axis=1)
+        assert all(v == s[i] for i, v in got[q].values()) and sorted(got[q]) == list(range(1, 21))
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & {i for i, _ in got[q].values()})
+    assert hit >= 0.95 * 300 * 20
+    assert router.weights.shape[1] == search.LEAST_PARTS and router.visits < search.LEAST_PARTS
+
+
 def test_recall_of_the_graph_alone():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 16))
