@@ -2,7 +2,7 @@
 
 Every message is split into lines with a quote level (the number of > before it).  Runs of
 lines of one level, and single lines, are normalised and hashed; quoted passages are
-joined, within their conversation, to the messages whose own text holds the same
+joined, within their conversation, to the last earlier message whose own text holds the same
 passage.  The quoted message that most of a message's first-level quotes come from is its
 parent; a message that quotes nothing known answers the one before it.  Parents are
 followed by pointer jumping, so a conversation of any length is spread over all tasks.
@@ -65,6 +65,23 @@ def before(messages: DataFrame, ws: Workspace) -> DataFrame:
     return turns.join(ends, ["conv_id", "slice"]).select("conv_id", "turn", F.coalesce(inside, F.col("earlier")).alias("previous"))
 
 
+def origins(asked: DataFrame, own: DataFrame, ws: Workspace) -> DataFrame:
+    """``asked`` (conv_id, hash, turn, ...) where an earlier turn said the passage, with ``origin``: the last turn that did.
+
+    Turns are sliced, so a passage that is said again and again makes no pairs and is not sorted in one task.
+    """
+    by, slice_ = ["conv_id", "hash"], F.floor(F.col("turn") / TURN_SLICE).alias("slice")
+    wanted = asked.where("conv_id is not null and turn is not null")
+    said = own.join(wanted.select(*by).distinct(), by, "left_semi").select(*by, "turn", F.col("turn").alias("origin"))
+    both = ws.save(wanted.unionByName(said, allowMissingColumns=True).select("*", slice_), "said")
+    ends = both.groupBy(*by, "slice").agg(F.max("origin").alias("last"))
+    before_ = W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    ends = ws.save(ends.select(*by, "slice", F.max("last").over(before_).alias("earlier")), "said_ends")
+    inside = W.partitionBy(*by, "slice").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+    found = both.withColumn("inside", F.max("origin").over(inside)).where("mid is not null").join(ends, [*by, "slice"])
+    return found.withColumn("origin", F.coalesce("inside", "earlier")).where("origin is not null").drop("inside", "earlier", "slice")
+
+
 def follow(parents: DataFrame, ws: Workspace) -> DataFrame:
     """conv_id, turn, root_turn, depth: parents are followed twice as far in every round, where they lead on."""
     asked = F.col("parent_turn").isNotNull()
@@ -90,17 +107,17 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     Defined results: equal rows (all four columns) are one message; messages of one
     conversation and turn share their parent's turn and are told apart by role and text;
     null texts are empty; messages without conv_id or turn stand alone, with null
-    parent, root and depth 0; quotations are searched for in earlier turns only; an
-    empty table gives no rows; other columns are ignored.
+    parent, root and depth 0; quotations are searched for in earlier turns only, and a
+    passage that several said counts for the last of them; an empty table gives no rows; other columns are ignored.
     """
     ws = Workspace(conversations.sparkSession, "chat")
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     messages = ws.save(rows.dropDuplicates().withColumn("mid", F.md5(F.to_json(F.struct("conv_id", "turn", "role", "text")))), "messages")
     lines = ws.save(parse(messages), "lines")
     known = ws.save(passages(lines), "passages")
-    own = known.where("level = 0").select("conv_id", "hash", F.col("turn").alias("origin")).distinct()
+    own = known.where("level = 0 and conv_id is not null and turn is not null").select("conv_id", "hash", "turn").distinct()
     asked = known.where("level > 0")
-    hits = ws.save(asked.join(own, ["conv_id", "hash"]).where("origin < turn"), "hits")
+    hits = ws.save(origins(asked, own, ws), "hits")
     # first-level quotes decide, by the characters that they share with a message
     votes = hits.where("level = 1").groupBy("conv_id", "turn", "origin").agg(F.sum("chars").alias("chars"))
     chosen = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("chars", "origin")).alias("best")).select("conv_id", "turn", F.col("best.origin").alias("quoted_turn"))

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat, lines, mixing, ngrams, packing, quality, repeats, sharding
 
@@ -454,6 +455,43 @@ def test_chat_links_quotations(spark):
     assert chat.link_quotations(frame).count() == 9
 
 
+def test_chat_parents_against_all_pairs(spark):
+    """Generated threads with nested quotes and much repeated passages: parents, roots and depths as a plain search finds them."""
+    rng, table = np.random.default_rng(12), []
+    for conv in range(6):
+        said = []
+        for turn in range(0, 700, int(rng.integers(3, 9))):
+            own = [" ".join(rng.choice(["ok", "thanks", "yes", "no", f"w{rng.integers(40)}"], 2)) for _ in range(int(rng.integers(1, 4)))]
+            quotes = [f"> {line}" for k in rng.integers(0, len(said), int(rng.integers(0, 3))) for line in said[k]] if said else []
+            quotes += [f"> {q}" for q in quotes[:1]]
+            said.append(own)
+            table.append((conv, turn, "user", "\n".join(quotes + own)))
+    frame = spark.createDataFrame(table, "conv_id long, turn long, role string, text string")
+    known = chat.passages(chat.parse(frame.withColumn("mid", F.concat_ws("/", "conv_id", "turn")))).collect()
+    own = {}
+    for r in known:
+        if r.level == 0:
+            own.setdefault((r.conv_id, r.hash), set()).add(r.turn)
+    votes, linked = {}, Counter()
+    for r in known:
+        earlier = [t for t in own.get((r.conv_id, r.hash), ()) if t < r.turn] if r.level else []
+        if earlier:
+            linked[r.conv_id, r.turn] += 1
+            if r.level == 1:
+                votes.setdefault((r.conv_id, r.turn), Counter())[max(earlier)] += r.chars
+    parent = {}
+    for conv, turn, *_ in table:
+        before = [t for c, t, *_ in table if c == conv and t < turn]
+        best = max(((n, t) for t, n in votes.get((conv, turn), {}).items()), default=(0, max(before, default=None)))
+        parent[conv, turn] = best[1]
+    for r in chat.link_quotations(frame).collect():
+        depth, root = 0, r.turn
+        while parent[r.conv_id, root] is not None:
+            depth, root = depth + 1, parent[r.conv_id, root]
+        assert (r.parent_turn, r.root_turn, r.depth, r.linked) == (parent[r.conv_id, r.turn], root, depth, linked[r.conv_id, r.turn])
+    assert sum(linked.values()) > 200
+
+
 def test_chat_keeps_unquoted_tables(spark, data):
     table = spark.read.parquet(f"{data}/conversations.parquet")
     out = chat.op6_chat(spark, data).orderBy("conv_id", "root_turn", "turn").collect()
