@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.recursion import recursive_union
+
 NODE = "query_id string, node_id int, parent_id int, node_type string, join_type string, object string, ranges array<struct<col:string,low:double,low_inc:boolean,high:double,high_inc:boolean>>, sort_keys array<array<string>>, group_keys array<array<string>>, residual array<string>"
 
 #: How much a join keeps; a stored join may be replaced by one that keeps as much or more.
@@ -48,14 +50,19 @@ def capture(df: DataFrame, query_id: str) -> DataFrame:
 
 
 def _predicates(text: str) -> tuple[list[tuple], list[str]]:
-    """Bounds by column, and what of a filter is no bound on a number."""
+    """Bounds by column, and what of a filter is no bound on a number; the narrowest of several bounds counts.
+
+    A filter with OR, NOT or CASE in it has no bounds: it is one predicate that must be equal.
+    """
+    if re.search(r"\bOR\b|\bNOT\b|\bCASE\b", text):
+        return [], [re.sub(r"#\d+L?", "", re.sub(r"^Filter ", "", text))]
     bounds: dict[str, list] = {}
     for m in _COMPARISON.finditer(text):
         name, op, value = (m[1], m[2], float(m[3])) if m[1] else (m[6], _FLIP[m[5]], float(m[4]))
         b = bounds.setdefault(name, [None, False, None, False])
-        if op in (">", ">=", "="):
+        if op in (">", ">=", "=") and (b[0] is None or (value, op == ">") > (b[0], not b[1])):
             b[0], b[1] = value, op != ">"
-        if op in ("<", "<=", "="):
+        if op in ("<", "<=", "=") and (b[2] is None or (value, op != "<") < (b[2], b[3])):
             b[2], b[3] = value, op != "<"
     rest = _COMPARISON.sub("", re.sub(r"^Filter ", "", text))
     rest = [re.sub(r"#\d+L?", "", x).strip("() ") for x in rest.split(" AND ")]
@@ -66,17 +73,11 @@ def summarise(nodes: DataFrame, depth: int = 64) -> DataFrame:
     """One row a subplan: its structure, joins in order, ranges, keys and remaining predicates.
 
     Every node is told to all nodes above it; the steps up are joins, as many as the
-    deepest plan has levels.
+    deepest plan has levels, and each is stored before the next.
     """
-    links = nodes.select("query_id", "node_id", "parent_id")
-    below = links.select("query_id", F.col("node_id").alias("top"), "node_id")
-    step = below
-    for _ in range(depth):
-        up = links.select("query_id", F.col("node_id").alias("top"), F.col("parent_id").alias("above"))
-        step = step.join(up, ["query_id", "top"]).where("above is not null").select("query_id", F.col("above").alias("top"), "node_id")
-        if step.isEmpty():
-            break
-        below = below.unionByName(step)
+    up = nodes.where("parent_id is not null").select("query_id", F.col("node_id").alias("top"), F.col("parent_id").alias("above"))
+    below = nodes.select("query_id", F.col("node_id").alias("top"), "node_id")
+    below = recursive_union(below, lambda step: step.join(up, ["query_id", "top"]).select("query_id", F.col("above").alias("top"), "node_id"), distinct=False, most_steps=depth)
     told = below.join(nodes, ["query_id", "node_id"])
     scale = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for k, n in JOIN_SCALE.items() for v in (k, n)]), F.col("join_type")), F.lit(0))
     each = F.struct("node_id", F.concat_ws(":", "node_type", F.coalesce("object", F.lit(""))).alias("what"), scale.alias("scale"), "ranges", "sort_keys", "group_keys", "residual")

@@ -105,6 +105,26 @@ def slow_view_match(t):
     return slow_views.match(slow_views.summarise(incoming), store).where("node_id = 0").select("query_id").distinct()
 
 
+@P.add("slow_view_nodes", """
+WITH q AS (SELECT p_partkey, p_type, p_size AS low, p_size + p_partkey % 9 AS high, p_retailprice FROM part)
+SELECT 'q' || n.p_partkey AS query_id, 'q' || o.p_partkey AS slow_query, o.p_retailprice AS sub_cost FROM q n JOIN q o
+ON n.p_type = o.p_type AND n.low <= o.low AND n.high >= o.high AND o.p_partkey % 20 = 0 AND o.p_retailprice >= 905""")
+def slow_view_nodes(t):
+    """Plans as a table of nodes: an aggregate over a join of a filtered scan; one in twenty is known to be slow."""
+    name, size = F.concat(F.lit("q"), F.col("p_partkey").cast("string")), F.col("p_size").cast("double")
+    span = F.array(F.struct(F.lit("quantity").alias("col"), size.alias("low"), F.lit(True).alias("low_inc"), (size + F.col("p_partkey") % 9).alias("high"), F.lit(True).alias("high_inc")))
+    keys, none = F.array(F.array(F.lit("priority"))), F.array().cast("array<array<string>>")
+    plan = [("Aggregate", None, None, None, keys), ("Join", 0, "Inner", None, none), ("Filter", 1, None, None, none), ("Scan", 2, None, F.col("p_type"), none), ("Scan", 1, None, F.lit("orders"), none)]
+    node = [F.struct(
+        F.lit(k).alias("node_id"), F.lit(parent).cast("int").alias("parent_id"), F.lit(kind).alias("node_type"), F.lit(join).cast("string").alias("join_type"),
+        (F.lit(None).cast("string") if table is None else table).alias("object"), (span if kind == "Filter" else F.filter(span, lambda _: F.lit(False))).alias("ranges"),
+        none.alias("sort_keys"), group.alias("group_keys"), F.array().cast("array<string>").alias("residual")) for k, (kind, parent, join, table, group) in enumerate(plan)]
+    nodes = t.part.select(name.alias("query_id"), F.explode(F.array(*node)).alias("n")).select("query_id", "n.*")
+    subplans = slow_views.summarise(nodes)
+    costs = t.part.where("p_partkey % 20 = 0").select(name.alias("query_id"), F.lit(0).alias("node_id"), F.col("p_retailprice").alias("sub_cost"))
+    return slow_views.match(subplans, slow_views.excavate(subplans, costs, 905.0)).where("node_id = 0").select("query_id", "slow_query", "sub_cost")
+
+
 @P.add("statement_statistics", "SELECT 'SELECT ? FROM t WHERE x = ?' AS query, count(*) AS calls, sum(value) > 0 AS busy FROM events")
 def statement_statistics(t):
     log = t.events.select(F.concat(F.lit("SELECT 1  FROM t WHERE x = "), F.col("user_id")).alias("text"), F.col("value").alias("ms"), F.lit(1).alias("rows"))

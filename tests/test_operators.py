@@ -172,3 +172,12 @@ def test_distinct_counts_over_a_partition(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (1, None), (2, None)], "g int, v string")
     got = sorted((r.g, r.n) for r in df.select("g", windows.count_distinct_over("v", "g").alias("n")).collect())
     assert got == [(1, 2), (1, 2), (1, 2), (1, 2), (2, 0)]
+
+
+def test_predicates_of_plans():
+    p = slow_views._predicates
+    assert p("Filter ((isnotnull(a#1L) AND (a#1L > 5)) AND (a#1L > 3))") == ([("a", 5.0, False, None, False)], [])
+    assert p("Filter ((a#1L >= 5) AND (a#1L > 5) AND (a#1L <= 9) AND (a#1L < 9))") == ([("a", 5.0, False, 9.0, False)], [])
+    for text in ("((a#1L > 5) OR (a#1L < 3))", "NOT (a#1L = 3)"):
+        bounds, rest = p(f"Filter {text}")
+        assert bounds == [] and rest == [text.replace("#1L", "")]
