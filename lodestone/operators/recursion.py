@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import new_folder
+
 MOST_STEPS = 1000
 
 
@@ -18,18 +18,13 @@ def _table(spark: SparkSession, df: DataFrame, root: str, name: str) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _root(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{folder or 'file://' + tempfile.mkdtemp(prefix='lodestone-')}/lodestone/recursion-{uuid.uuid4().hex[:12]}"
-
-
 def recursive_union(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, most_steps: int = MOST_STEPS) -> DataFrame:
     """WITH RECURSIVE: ``seed`` UNION [ALL] what ``step`` makes of the rows of the last round, until that is nothing.
 
     With ``distinct``, rows seen before go (NULLs are equal), so cycles end.  Each round's
     rows are written to the shared folder: the lineage stays one round long.
     """
-    spark, root = seed.sparkSession, _root(seed.sparkSession)
+    spark, root = seed.sparkSession, new_folder(seed.sparkSession, "recursion")
     columns = seed.columns
     work = _table(spark, seed.distinct() if distinct else seed, root, "round0")
     rounds = [work]

@@ -15,10 +15,10 @@ from lodestone.functions import strings as S
 from lodestone.functions import temporal as T
 from lodestone.functions import user
 from lodestone.operators import aggregates as A
-from lodestone.operators import recursion
 from lodestone.operators import relational as R
 from lodestone.plans.pairs import Pairs
 from lodestone.sources import files
+from lodestone.sources.scratch import new_folder
 
 P = Pairs()
 
@@ -206,7 +206,7 @@ def view_over_join(t):
 
 @P.add("copy_round_trip", "SELECT c_custkey, c_name || ',\"q\"' AS c_name, nullif(c_mktsegment, 'BUILDING') AS seg, c_acctbal FROM customer WHERE c_acctbal > 0")
 def copy_round_trip(t):
-    path = f"{recursion._root(t.spark)}/copy"
+    path = f"{new_folder(t.spark, 'copy')}/rows"
     rows = t.customer.select("c_custkey", F.concat("c_name", F.lit(',"q"')).alias("c_name"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"), "c_acctbal")
     files.copy_to(rows, path, header=True)
     return files.copy_from(t.spark, path, "c_custkey BIGINT, c_name STRING, seg STRING, c_acctbal DOUBLE", header=True, where=F.col("c_acctbal") > 0)

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{root or 'file://' + tempfile.mkdtemp(prefix='lodestone-')}/lodestone/stream-{uuid.uuid4().hex[:12]}"
+from lodestone.sources.scratch import new_folder
 
 
 def event_stream(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:
@@ -56,7 +51,7 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, within: str, late
 
 def run_complete(stream: DataFrame) -> DataFrame:
     """Runs an aggregation over what is there now; returns its final state as a table."""
-    folder = _folder(stream.sparkSession)
+    folder = new_folder(stream.sparkSession, "stream")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/state")
@@ -68,7 +63,7 @@ def run_complete(stream: DataFrame) -> DataFrame:
 
 def run_append(stream: DataFrame) -> DataFrame:
     """Runs an appending query over what is there now into an exactly-once file sink; returns the rows."""
-    folder = _folder(stream.sparkSession)
+    folder = new_folder(stream.sparkSession, "stream")
     query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
