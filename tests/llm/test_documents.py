@@ -351,7 +351,7 @@ def test_short_near_lines_are_all_found(spark):
     """Every variant with as many edits as are alike, at any places, goes with its line."""
     rng, table = np.random.default_rng(6), []
     for base in range(400):
-        line = " ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 9))) for _ in range(60))[: 9 + base * 120 // 400].strip()
+        line = " ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 9))) for _ in range(60))[: 9 + base * (lines.SHORT - 9) // 400].strip()
         changed = list(line)
         for _ in range(int(len(line) / 10)):
             k = int(rng.integers(len(changed)))
@@ -408,7 +408,7 @@ def test_equal_rows_keep_one_occurrence(spark):
     assert sorted(len(r.removed_lines) for r in out if r.doc_id == 1) == [0, 2, 2]
     assert [list(r.removed_lines) for r in out if r.doc_id is None and r.text] == [[0], [0]]
     assert [(r.removed_lines, r.kept_text) for r in out if r.text is None] == [([], None)] * 2
-    assert [(len(r.removed_lines), r.kept_text) for r in out if r.doc_id == 2] == [(2999, "a\n\nb")]
+    assert [(len(r.removed_lines), r.kept_text) for r in out if r.doc_id == 2] == [(2999, "a\nb")]
 
 
 def test_lines_without_blanks_and_very_long_ones(spark):
