@@ -47,10 +47,10 @@ class Router:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k vectors of largest inner product with each, itself left out."""
     out = []
-    for a in range(0, len(x), 1024):
-        s = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 128):  # a few MB at a time, for this runs on the driver
+        s = x[a : a + 128] @ x.T
         s[np.arange(len(s)), a + np.arange(len(s))] = -np.inf
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k].copy())  # a view would hold the whole block
     return np.concatenate(out)
 
 
@@ -250,8 +250,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     usual, n = usual_length(rows, "v"), rows.count()
     parts = min(MOST_PARTS, max(LEAST_PARTS, n // PART)) if n >= TRIVIAL else 1
     turn = F.xxhash64("vec_id", F.lit(3))
-    sample = rows.where(F.size("v") == usual).orderBy(turn, "vec_id").limit(SAMPLE).select("v").collect()
-    router = fit(np.array([r["v"] for r in sample], np.float64).reshape(len(sample), max(1, usual)), parts, k)
+    sample = rows.where(F.size("v") == usual).orderBy(turn, "vec_id").limit(SAMPLE).select("v").toArrow()
+    router = fit(matrix(sample.column("v")).reshape(sample.num_rows, max(1, usual)), parts, k)
+    del sample
     parts = router.weights.shape[1]
     queries = ws.save(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
     while True:
